@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import mixing, packing, quality_rules
+from corvidex.llm import mixing, packing, quality_clf, quality_rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir), quality_clf.fold(F.col("doc_id"), 3) == 1
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    out = toxicity.score(docs.select("doc_id", "text"), machine)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate")
@@ -24,8 +31,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir), quality_clf.fold(F.col("doc_id"), 5) == 0
+    weights = quality_clf.train(docs, table(spark, sf_dir, "labels"), ~held)
+    out = quality_clf.score(docs.select("doc_id", "text"), weights)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_host_quality_rules, op4_best_fit_packing, op10_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op9_ftrl_quality, op10_source_mix)}
