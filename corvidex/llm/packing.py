@@ -43,7 +43,7 @@ class WordEncoder:
     ODD = re.compile("[\x1c-\x1f]")  # str.split() parts here, the tokenizer doesn't
     TAIL = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|&%$#*]+)")
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.room = Tokenizer.from_file(path), room
