@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import mixing, packing, quality_clf, quality_rules, toxicity
+from corvidex.llm import mixing, packing, quality_clf, quality_rules, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +31,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir))
+    base = {k: F.col(k) for k in secrets.KINDS[:3]}
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(base | {"random": F.col("random")}).alias("spans"),
+    )
+
+
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir), quality_clf.fold(F.col("doc_id"), 5) == 0
     weights = quality_clf.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -42,4 +53,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op9_ftrl_quality, op10_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op6_randomness_secrets, op9_ftrl_quality, op10_source_mix)}
