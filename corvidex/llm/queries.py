@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import mixing, packing, quality_clf, quality_rules, secrets, toxicity
+from corvidex.llm import mixing, packing, quality_clf, quality_rules, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +31,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near (more): for every hundredth document, how many others lie within three bits of it."""
+    rows = simhash.fingerprints(table(spark, sf_dir))
+    rows = simhash.with_near(rows, F.col("doc_id") % 100 == 0)
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.hexed(F.col("fp")).alias("fingerprint"),
+        simhash.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
+    )
+
+
 def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir))
     base = {k: F.col(k) for k in secrets.KINDS[:3]}
@@ -53,4 +69,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op6_randomness_secrets, op9_ftrl_quality, op10_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op5_simhash_fingerprints, op6_randomness_secrets, op9_ftrl_quality, op10_source_mix)}
