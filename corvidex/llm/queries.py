@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import mixing, packing, quality_clf, quality_rules, secrets, simhash, toxicity
+from corvidex.llm import mixing, ngram_join, packing, quality_clf, quality_rules, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -58,6 +58,10 @@ def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir), join=ngram_join.Join(words=3, percent=90))
+
+
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir), quality_clf.fold(F.col("doc_id"), 5) == 0
     weights = quality_clf.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -69,4 +73,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op5_simhash_fingerprints, op6_randomness_secrets, op9_ftrl_quality, op10_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op5_simhash_fingerprints, op6_randomness_secrets, op7_partenum_jaccard, op9_ftrl_quality, op10_source_mix)}
