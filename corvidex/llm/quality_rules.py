@@ -141,25 +141,34 @@ def host_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     return out
 
 
+def _judged(docs: DataFrame, text: str, host: str, rules: Rules) -> DataFrame:
+    """docs, _f (figures), _rate, _ok (the verdict): no shuffle of the documents."""
+    arrow_batches(docs.sparkSession)
+    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias("_host"), F.col("host_rate").alias("_rate"), "host_rejected")
+    # a struct key makes null hosts equal in an ordinary equi-join
+    rows = docs.withColumn("_host", F.struct(F.col(host).alias("h"))).withColumn("_f", rule_figures(as_text(text)))
+    f = F.col("_f")
+    joined = join_small(rows, verdicts, ["_host"], "left")
+    return joined.withColumn("_ok", ~base_failed(f, rules) & ~junk(f, rules) & ~F.coalesce("host_rejected", F.lit(False)))
+
+
+def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns as they are."""
+    return _judged(docs, text, host, rules).where("_ok").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the five figures, base_failed, host_rate and kept.
 
     kept is false if a base rule fails, the text is symbol debris, or the host's
     shrunk failure rate is above the limit.
     """
-    arrow_batches(docs.sparkSession)
     ours = [*FIGURES, "base_failed", "kept", "host_rate"]
-    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias("_host"), "host_rate", "host_rejected")
     f = F.col("_f")
-    clash = {c.lower() for c in ours}
-    keep = [c for c in docs.columns if c.lower() not in clash]
-    # a struct key makes null hosts equal in an ordinary equi-join
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.struct(F.col(host).alias("h")).alias("_host"), rule_figures(as_text(text)).alias("_f"))
-    joined = join_small(rows, verdicts, ["_host"], "left")
-    return joined.select(
-        *(F.col(f"`{c}`") for c in keep),
+    return _judged(docs, text, host, rules).select(
+        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ours),
         *(f[c].alias(c) for c in FIGURES),
         base_failed(f, rules).alias("base_failed"),
-        (~base_failed(f, rules) & ~junk(f, rules) & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"),
-        "host_rate",
+        F.col("_ok").alias("kept"),
+        F.col("_rate").alias("host_rate"),
     )
