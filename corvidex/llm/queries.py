@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import mixing, ngram_join, packing, quality_clf, quality_rules, secrets, simhash, toxicity
+from corvidex.llm import lm_score, mixing, ngram_join, packing, quality_clf, quality_rules, secrets, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -21,6 +21,12 @@ def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic; background: all documents."""
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir), target)
+
+
 def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate")
@@ -62,6 +68,10 @@ def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir), join=ngram_join.Join(words=3, percent=90))
 
 
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir).select("doc_id", "text")).select("doc_id", "edit.*")
+
+
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir), quality_clf.fold(F.col("doc_id"), 5) == 0
     weights = quality_clf.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -73,4 +83,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op3_host_quality_rules, op4_best_fit_packing, op5_simhash_fingerprints, op6_randomness_secrets, op7_partenum_jaccard, op9_ftrl_quality, op10_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorization_toxicity, op2_cross_entropy_difference, op3_host_quality_rules, op4_best_fit_packing, op5_simhash_fingerprints, op6_randomness_secrets, op7_partenum_jaccard, op8_edit_aware_counts, op9_ftrl_quality, op10_source_mix)}
