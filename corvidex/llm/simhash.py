@@ -85,7 +85,7 @@ def in_order(docs: DataFrame) -> DataFrame:
             before += [F.lit(r["part"]), lit(edges[i - 1]["b"])]
         out = out.withColumn("nx", F.coalesce("nx", F.create_map(*after)[F.col("part")])).withColumn("pv", F.coalesce("pv", F.create_map(*before)[F.col("part")]))
     return written(
-        out.select("k1", "k2", "n", F.col("nx.k1").alias("next1"), F.col("nx.k2").alias("next2"), F.col("pv.k1").alias("prev1"), F.col("pv.k2").alias("prev2"), F.col("pv.n").alias("prev_n")),
+        out.select("k1", "k2", "doc_id", "n", F.col("nx.k1").alias("next1"), F.col("nx.k2").alias("next2"), F.col("pv.k1").alias("prev1"), F.col("pv.k2").alias("prev2"), F.col("pv.n").alias("prev_n")),
         "order",
     )
 
@@ -100,7 +100,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
     order = in_order(keyed.select("doc_id", "k1", "k2", F.length("text").cast("long").alias("n")))
     key = ["k1", "k2"]
-    whole = keyed.select("k1", "k2", "doc_id", "text").join(order.hint("merge"), key)
+    # every use below reads the same three columns, so their one exchange is shared
+    whole = keyed.select("k1", "k2", "text").join(order.hint("merge"), key)
     # the first half-length of this text goes to the document before
     gift = whole.select(F.col("prev1").alias("k1"), F.col("prev2").alias("k2"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("lead")).dropDuplicates(key)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int")), "lead")
