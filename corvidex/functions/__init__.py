@@ -1,0 +1 @@
+"""Column functions: text cleaning, tokens, dates."""

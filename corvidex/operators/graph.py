@@ -41,3 +41,33 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
     dropped(both)
     return labels.select("node", F.col("label").alias("component"))
+
+
+def groups_by_value(rows: DataFrame, item: str, value: str) -> DataFrame:
+    """(item, value) -> (item, group): items that share a value, directly or through others, share a group (its smallest item).
+
+    A value with many items makes a star on its smallest item, so edges are as many
+    as rows whatever the skew. Items need a type that compares; groups are exact.
+    """
+    pairs = rows.select(F.col(item).alias("a"), F.col(value).alias("v")).where("a is not null and v is not null").distinct()
+    hubs = pairs.groupBy("v").agg(F.min("a").alias("b"))
+    found = connected_components(pairs.join(hubs, "v").select("a", "b"))
+    every = rows.select(F.col(item).alias("node")).where("node is not null").distinct()
+    return every.join(found, "node", "left").select(F.col("node").alias(item), F.coalesce("component", "node").alias("group"))
+
+
+def packed_batches(sizes: list[tuple[object, int]], batch: int) -> list[list[tuple[object, int, int]]]:
+    """Groups (name, size) into batches of ``batch`` items: largest first, a group larger than a batch split, else never; (name, from, to)."""
+    out: list[list[tuple[object, int, int]]] = []
+    current: list[tuple[object, int, int]] = []
+    used = 0
+    for name, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
+        if size > batch:
+            out += [[(name, at, min(at + batch, size))] for at in range(0, size, batch)]
+            continue
+        if used + size > batch:
+            out.append(current)
+            current, used = [], 0
+        current.append((name, 0, size))
+        used += size
+    return [*out, current] if current else out

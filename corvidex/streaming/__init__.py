@@ -1,0 +1 @@
+"""Structured Streaming: incremental upserts and corpus statistics."""
