@@ -447,9 +447,9 @@ def error_rollup(spark, d):
     return quality.rollup(table(spark, d, "events"), "event_type")
 
 
-@query("SELECT event_id, round(avg(value) OVER w, 3) AS rolling_avg, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1000 PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, round(avg(value) OVER w + 1e-9, 6) AS rolling_avg, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1000 PRECEDING AND CURRENT ROW)")
 def rolling_avg_value(spark, d):
-    return quality.rolling(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("rolling_avg", 3).alias("rolling_avg"), "running_max")
+    return quality.rolling(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", r6(F.col("rolling_avg") + 1e-9).alias("rolling_avg"), "running_max")
 
 
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
