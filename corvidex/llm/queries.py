@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvidex.llm import lm_score, mixing, ngram_join, packing, quality_clf, quality_rules, secrets, simhash, token_counts, toxicity
+from corvidex.llm.oracles import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
