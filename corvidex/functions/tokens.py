@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.functions.clean import clean_text
+from corvidex.functions.terms import CAPITALS, OPERATIONS
 
 # Words that carry no content, never kept by the tokenizers below.
 STOP_WORDS = (
@@ -72,10 +73,10 @@ def fallback_tokens(text: Column, min_length: int = 2, max_length: int = 50) ->
     return F.filter(parts, lambda x: F.length(x).between(min_length, max_length) & ~x.rlike("^[0-9]+$") & x.rlike("[a-z0-9]"))
 
 
-def preprocessed(text: Column, terms: list[str] = (), min_length: int = 2, max_length: int = 50) -> Column:
+def preprocessed(text: Column, terms: list[str] = CAPITALS, min_length: int = 2, max_length: int = 50) -> Column:
     """Clean, lower, split, stop words out, validity, domain terms; unstemmed."""
     kept = F.filter(words(clean_text(text)), lambda t: ~t.isin(*STOP_WORDS) & valid_token(t, min_length, max_length))
-    return preserve_terms(kept, list(terms))
+    return preserve_terms(kept, list(terms), OPERATIONS)
 
 
 # --- Porter's algorithm (1980), over distinct terms only -----------------------------------------

@@ -41,7 +41,7 @@ def test_sanitize(spark, field):
 
 
 def test_key_numbers_stems_flags(spark):
-    assert column(spark, ["FHIR-12345", "NODASH", "A-12a", "77", "A-", "A--5"], clean.numeric_suffix) == [12345, 0, 12, 77, 0, -5]
+    assert column(spark, ["ABC-12345", "NODASH", "A-12a", "77", "A-", "A--5"], clean.numeric_suffix) == [12345, 0, 12, 77, 0, -5]
     assert column(spark, ["https://example.com/spec.html", "https://x.org/a/b/", "plain.txt", "https://x.org"], clean.url_stem) == ["spec", "https://x.org/a/b/", "plain.txt", "https://x.org"]
     assert column(spark, [",a,,b,"], clean.malformations) == [["double commas", "leading comma", "trailing comma", "mixed separators"]]
     assert column(spark, ["a &nbsp; <b>bold</b>  x@y\tz-1_2.3", None], clean.clean_text) == ["a bold x y z-1_2.3", ""]
@@ -58,6 +58,12 @@ def test_token_validity(spark):
     assert column(spark, values, tokens.valid_token) == [True, False, False, False, True, False, True, True, True, True, False]
 
 
+def test_preprocessing(spark):
+    texts = ["The Patient&nbsp;was <b>running</b> R4 codesystem at http www 123 x and the observations!", None, ""]
+    assert column(spark, texts, tokens.preprocessed) == [["PATIENT", "running", "R4", "CODESYSTEM", "observations"], [], []]
+    assert column(spark, ["a &lt;b&gt; foo-bar 12 it&#39;s ok"], tokens.fallback_tokens) == [["foo", "bar", "it", "ok"]]
+
+
 def test_porter():
     pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "formaliti": "formal", "electriciti": "electr", "hopeful": "hope", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "running": "run", "ran": "ran"}
     assert {w: tokens.porter(w) for w in pairs} == pairs

@@ -12,9 +12,9 @@ from corvidex.sources import feed, store
 from corvidex.streaming import ingest
 
 CORPUS = [
-    ("doc1", "FHIR Patient resource contains demographic information"),
+    ("doc1", "Spec Patient resource contains demographic information"),
     ("doc2", "Patient data includes name address and contact information"),
-    ("doc3", "FHIR Observation resource stores clinical measurements"),
+    ("doc3", "Spec Observation resource stores clinical measurements"),
     ("doc4", "Clinical data analysis using TF-IDF for keyword extraction"),
     ("doc5", "Healthcare interoperability requires standardized data formats"),
 ]
@@ -29,7 +29,7 @@ def corpus(spark):
 def test_light_scores(corpus):
     got = {(r.doc, r.term): round(r.score, 6) for r in corpus.light().collect()}
     assert len({t for _, t in got}) == 27
-    assert got["doc1", "contains"] == 0.26824 and got["doc1", "fhir"] == 0.152715
+    assert got["doc1", "contains"] == 0.26824 and got["doc1", "spec"] == 0.152715
     assert got["doc2", "data"] == 0.063853 and got["doc4", "clinical"] == 0.114536 and got["doc5", "data"] == 0.085138
 
 
