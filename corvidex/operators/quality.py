@@ -109,3 +109,42 @@ def size_histogram(groups: DataFrame, size: str) -> DataFrame:
     # The classes.
     classes = {"one": (1, 1), "two_to_5": (2, 5), "six_to_10": (6, 10), "eleven_to_50": (11, 50), "from_50": (50, None), "from_1000": (1000, None)}
     return groups.agg(*(F.count_if((s >= a) & (F.lit(True) if b is None else s <= b)).alias(n) for n, (a, b) in classes.items()))
+
+
+def health(active: int, total: int, timeouts: int, locks: int, mean_ms: float, reachable: bool = True) -> list[str]:
+    """What is wrong with a store's counters, in words; empty if healthy."""
+    rate = lambda n: n / total if total else 0.0
+    checks = (
+        (not reachable, "unreachable"),
+        (active > 10, "too many active operations"),
+        (rate(timeouts) > 0.10, "too many timeouts"),
+        (rate(locks) > 0.20, "too many locks"),
+        (mean_ms > 5000, "slow on average"),
+    )
+    return [name for bad, name in checks if bad]
+
+
+def integrity(issues: DataFrame, attributes: DataFrame, comments: DataFrame, wide: DataFrame, post: DataFrame) -> DataFrame:
+    """(name, n, status) of the checks of a store; n counts the offending rows. Each is one aggregate or anti-join."""
+
+    def check(name: str, rows: DataFrame, bad: str = "FAIL") -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n", F.when(F.col("n") == 0, "PASS").otherwise(bad).alias("status"))
+
+    parts = [
+        check("issue keys are unique", duplicates(issues, "issue_key")),
+        check("issue keys are present", issues.where(F.col("issue_key").isNull() | (F.col("issue_key") == ""))),
+        check("titles are present", issues.where(F.col("title").isNull() | (F.trim("title") == "")), "WARNING"),
+        check("creation times are present", issues.where("created_at is null"), "WARNING"),
+        check("comments have an issue", orphans(comments, issues, "issue_key")),
+        check("comment ids are unique", duplicates(comments.where("comment_id is not null"), "comment_id")),
+        check("comments have a body", comments.where(F.col("body").isNull() | (F.col("body") == "")), "WARNING"),
+        check("attributes have an issue", orphans(attributes, issues, "issue_key")),
+        check("attributes have a name", attributes.where(F.col("field_name").isNull() | (F.col("field_name") == ""))),
+        check("every issue is in the wide view", issues.join(wide.select("issue_key"), "issue_key", "left_anti")),
+        check("the wide view has one row an issue", duplicates(wide, "issue_key")),
+        check("postings have an issue", post.select(F.col("doc").alias("issue_key")).distinct().join(issues.select("issue_key"), "issue_key", "left_anti")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

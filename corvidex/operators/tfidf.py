@@ -124,3 +124,31 @@ def cosine_to(vectors: DataFrame, source, *, doc: str = "doc", term: str = "term
     norm = F.lit(norms.where(F.col(doc) == source).agg(F.max("norm").alias("n")).first()["n"] or 0.0)
     dots = vectors.join(mine, term).groupBy(doc).agg(F.sum(F.col(weight) * F.col("mine")).alias("dot"))
     return norms.where(F.col(doc) != source).join(dots, doc, "left").select(doc, F.coalesce(F.try_divide("dot", F.col("norm") * norm), F.lit(0.0)).alias("similarity"))
+
+
+#: Scorers by name, each (corpus, options) -> (doc, term, score).
+METHODS = {
+    "library": lambda c, o: c.keywords(o).select(F.col("issue_key").alias("doc"), F.col("keyword").alias("term"), F.col("tfidf_score").alias("score")),
+    "pure": lambda c, o: c.pure(o).select("doc", "term", F.col("tfidf").alias("score")),
+    "light": lambda c, o: c.light(),
+}
+
+
+def scores(corpus: Corpus, method: str = "library", options: Options = Options()) -> DataFrame:
+    """doc, term, score by the scorer named."""
+    if method not in METHODS:
+        raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
+    return METHODS[method](corpus, options)
+
+
+def with_fallback(first: Column, second: Column) -> Column:
+    """Tokens of the first column, or of the second where the first has none."""
+    return F.when(F.size(F.coalesce(first, F.array().cast("array<string>"))) > 0, first).otherwise(second)
+
+
+def validation(corpus: Corpus, docs: DataFrame, doc: str, options: Options = Options()) -> DataFrame:
+    """One row: documents given, documents with terms, terms in the band, and what is amiss."""
+    given = docs.agg(F.count_distinct(doc).alias("given"))
+    terms = corpus.stats(options).agg(F.count(F.lit(1)).alias("terms"))
+    amiss = F.array_compact(F.array(F.when(F.col("given") != F.col("counted"), "documents without terms"), F.when(F.col("terms") == 0, "no statistics"), F.when(F.col("given") == 0, "no documents")))
+    return given.join(terms).withColumn("counted", F.lit(corpus.n).cast("long")).withColumn("amiss", amiss)

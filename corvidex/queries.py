@@ -15,7 +15,7 @@ from corvidex.functions import clean, tokens
 from corvidex.functions.dates import period
 from corvidex.operators import fts, graph, keywords, quality, tools
 from corvidex.operators import upsert as up
-from corvidex.operators.tfidf import Corpus, Options, cosine_to
+from corvidex.operators.tfidf import Corpus, Options, cosine_to, validation
 from corvidex.sources import feed, store
 from corvidex.sources.fixtures import ATTRIBUTES, COMMENTS, ISSUES, attributes, comments, issues, key, table
 
@@ -482,3 +482,27 @@ def error_types(spark, d):
     k = F.col("o_orderkey") % 5
     m = F.when(k == 0, "SQLITE busy").when(k == 1, "Request timed out").when(k == 2, "Heap full").when(k == 3, "Invalid value").otherwise("other")
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("operation"), quality.error_type(m).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {WIDE}, {COMMENTS}, c AS (
+SELECT 'issue keys are unique' AS name, count(*) AS n, 'FAIL' AS bad FROM (SELECT issue_key FROM issues GROUP BY 1 HAVING count(*) > 1) UNION ALL
+SELECT 'issue keys are present', count(*), 'FAIL' FROM issues WHERE issue_key IS NULL OR issue_key = '' UNION ALL
+SELECT 'titles are present', count(*), 'WARNING' FROM issues WHERE title IS NULL OR trim(title) = '' UNION ALL
+SELECT 'creation times are present', count(*), 'WARNING' FROM issues WHERE created_at IS NULL UNION ALL
+SELECT 'comments have an issue', count(*), 'FAIL' FROM comments ANTI JOIN issues USING (issue_key) UNION ALL
+SELECT 'comment ids are unique', count(*), 'FAIL' FROM (SELECT comment_id FROM comments GROUP BY 1 HAVING count(*) > 1) UNION ALL
+SELECT 'comments have a body', count(*), 'WARNING' FROM comments WHERE body IS NULL OR body = '' UNION ALL
+SELECT 'attributes have an issue', count(*), 'FAIL' FROM attributes ANTI JOIN issues USING (issue_key) UNION ALL
+SELECT 'attributes have a name', count(*), 'FAIL' FROM attributes WHERE field_name IS NULL OR field_name = '' UNION ALL
+SELECT 'every issue is in the wide view', count(*), 'FAIL' FROM issues ANTI JOIN wide USING (issue_key) UNION ALL
+SELECT 'the wide view has one row an issue', count(*), 'FAIL' FROM (SELECT issue_key FROM wide GROUP BY 1 HAVING count(*) > 1) UNION ALL
+SELECT 'postings have an issue', 0, 'FAIL') SELECT name, n, CASE WHEN n = 0 THEN 'PASS' ELSE bad END AS status FROM c""")
+def integrity_suite(spark, d):
+    own = issues(spark, d)
+    p = fts.postings(own, "issue_key", ["title"])
+    return quality.integrity(own, attributes(spark, d), comments(spark, d), wide_view(spark, d), p)
+
+
+@query(f"WITH {TF}, s AS (SELECT count(*) AS terms FROM df, n WHERE df BETWEEN 2 AND floor(0.7 * n)) SELECT (SELECT count(*) FROM documents) AS given, terms, n AS counted FROM s, n")
+def corpus_validation(spark, d):
+    return validation(corpus(spark, d), table(spark, d, "documents"), "doc_id").select("given", "terms", "counted")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvidex.operators import fts, graph, keywords, quality, tools, upsert
-from corvidex.operators.tfidf import Corpus, Options, cosine_to
+from corvidex.operators.tfidf import Corpus, Options, cosine_to, scores, validation
+from corvidex.plans import recovery
 from corvidex.sources import feed, store
 from corvidex.streaming import ingest
 
@@ -201,3 +202,30 @@ def test_rollups(spark):
     q = quality.list_quality(spark.createDataFrame([(",a,,b",), ("",), ("a, b",)], "related_pages string"), "related_pages").first()
     assert (q.malformed, q.empty) == (1, 1)
     assert quality.suite(spark.createDataFrame([("a", "PASS"), ("b", "FAIL")], "name string, status string")).first().health == 50.0
+
+
+def test_retries():
+    calls, pauses = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("connection reset")
+        return "ok"
+
+    assert recovery.with_retry(flaky, sleep=pauses.append) == "ok" and pauses == [1.0, 2.0]
+    assert recovery.delays(6) == [1, 2, 4, 8, 10]
+    with pytest.raises(ValueError):
+        recovery.with_retry(lambda: (_ for _ in ()).throw(ValueError("wrong")), sleep=pauses.append)
+    assert recovery.with_fallback(lambda: 1 / 0, lambda e: type(e).__name__) == "ZeroDivisionError"
+    assert quality.health(3, 100, 11, 5, 10.0) == ["too many timeouts"] and not quality.health(0, 0, 0, 0, 0.0)
+
+
+def test_methods_and_validation(spark, corpus):
+    wide = Options(min_df=1, max_df=1.0)
+    assert scores(corpus, "light").count() == scores(corpus, "library", wide).count()
+    with pytest.raises(ValueError):
+        scores(corpus, "other")
+    docs = spark.createDataFrame([*CORPUS, ("doc6", "a")], "id string, text string")
+    v = validation(corpus, docs, "id", wide).first()
+    assert (v.given, v.counted, v.terms, list(v.amiss)) == (6, 5, 27, ["documents without terms"])
