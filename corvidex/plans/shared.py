@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many narrow (<= 64 byte) records may be broadcast.
 BROADCAST_ROWS = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema."""
+    """Write ``df`` to the shared folder and read it back with the same schema.
+
+    The shuffle files of that one execution go when it ends, as nothing reads them
+    again; a chain of written tables holds one step's shuffles on disk, not all.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvidex/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvidex_path = path
     return out
@@ -47,6 +59,13 @@ def dropped(*tables: DataFrame) -> None:
             target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every table that :func:`written` left in the shared folder; results not yet collected need them."""
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvidex")
+    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a *written* narrow table has at most ``limit`` rows (one cheap count)."""
     return df.count() <= limit
