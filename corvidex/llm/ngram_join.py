@@ -6,7 +6,8 @@ into n1 cells of 3 sub-cells each; n1 is chosen so that at least one cell of two
 linked sets differs in at most one place. For every cell the 3 ways of leaving one
 sub-cell out are enumerated, and the content of the two others is a signature, so
 linked sets share one. A set near the upper end of its band signs in the next band
-too.
+too. An eighth more cells than that makes them share several, so each set may leave
+out its most popular signatures, which unrelated sets have by common passages.
 
 Signatures without content say nothing and would be shared by many; they are left
 out wherever a set has cells to spare (then the argument holds on its other cells)
@@ -45,6 +46,8 @@ from corvidex.plans.shared import BROADCAST_ROWS, arrow_batches, as_text, droppe
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SKETCH = 4
+#: The low bits of a signature name its band.
+BAND_BITS = 63
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,19 @@ class Join:
             r = max(r + 1, int(r * widen))
         return out
 
+    def cells(self, band: int) -> tuple[int, int]:
+        """(need, n1): cells that must have content, and cells.
+
+        ``2 * (need - extra) >= k + 1``, so among any ``need`` cells of two linked sets one
+        has at most one difference, and at least ``2 * extra + 1`` signatures are shared.
+        """
+        least = (self.bands[band][1] + 2) // 2
+        extra = self.extra(band)
+        return least + extra, least + extra + (max(1, least // 12) if least > 4 else 0)
+
+    def extra(self, band: int) -> int:
+        return ((self.bands[band][1] + 2) // 2) // 8
+
     def bands_of(self, size: int) -> list[int]:
         tops = [r for r, _ in self.bands]
         b = int(np.searchsorted(tops, size))
@@ -119,8 +135,7 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
         k = join.bands[b][1]
         if k == 0:
             continue  # only equal sets link here
-        need = (k + 2) // 2  # cells: 2 * need >= k + 1, so one cell has at most one difference
-        n1 = need + max(1, need // 12) if need > 4 else need  # some to spare
+        need, n1 = join.cells(b)
         cell = mix(s + np.uint64((b + 1) * int(_M3) & (2**64 - 1)))
         at = ((cell >> np.uint64(33)) % np.uint64(n1)).astype(np.int64) * 3 + ((cell & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -135,7 +150,7 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
         full = size > 0
         if full.all(axis=1).sum() >= need:
             sig = sig[full]
-        out.append(sig.ravel())
+        out.append((sig.ravel() & ~np.uint64(BAND_BITS)) | np.uint64(b & BAND_BITS))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -215,40 +230,70 @@ def _possible(a: str, b: str, join: Join) -> Column:
     return sizes & ((100 + join.percent) * flips <= (100 - join.percent) * (na + nb))
 
 
-def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
-    """(doc_id, text) and (digest, n, rep, sk..) -> (a, b) edges between digests whose components are those of all links."""
+def candidates(docs: DataFrame, join: Join) -> DataFrame:
+    """(sig, digest) of signatures that different sets share, each set without its most popular ones.
+
+    Linked sets share 2 * extra + 1 signatures in a band. Leaving out of each set the
+    2 * extra that come last in one order of all signatures (here by popularity) leaves
+    one shared, and it is not one that many unrelated sets have by a common passage.
+    """
     pairs_of = Window.partitionBy("sig")
     shared = signed(docs, join).withColumn("lo", F.min("digest").over(pairs_of)).withColumn("hi", F.max("digest").over(pairs_of)).where("lo <> hi")
-    shared = written(shared.select("sig", "digest").distinct(), "shared")
-    involved = written(shared.groupBy("digest").agg(F.count(F.lit(1)).alias("shares")).join(nodes, "digest").select("digest", "shares", "n", "rep", *(f"sk{j}" for j in range(SKETCH))), "involved")
-    size = involved.count()
-    if size == 0:
+    shared = written(shared.groupBy("sig", "digest").agg(F.count(F.lit(1)).alias("rows")), "shared")
+    band = F.col("sig").bitwiseAND(F.lit(BAND_BITS))
+    spare = F.element_at(F.array(*(F.lit(2 * join.extra(b)) for b in range(len(join.bands)))), (band + 1).cast("int"))
+    popular = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
+    last_first = Window.partitionBy("digest", "band").orderBy(F.desc("sets"), F.desc("sig"))
+    ranked = shared.select("sig", "digest").join(popular, "sig").withColumn("band", band).withColumn("place", F.row_number().over(last_first))
+    left = written(ranked.where(F.col("place") > spare).select("sig", "digest"), "left")
+    dropped(shared)
+    return left
+
+
+def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
+    """(doc_id, text) and (digest, n, rep, sk..) -> (a, b) edges between digests whose components are those of all links."""
+    left = candidates(docs, join)
+    involved = written(left.groupBy("digest").agg(F.count(F.lit(1)).alias("shares")).join(nodes, "digest").select("digest", "shares", "n", "rep", *(f"sk{j}" for j in range(SKETCH))), "involved")
+    if involved.isEmpty():
         return None
-    reps = involved.select("rep").distinct()
-    picked = docs.join(F.broadcast(reps) if size <= BROADCAST_ROWS else reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    # sets carry their own digest, so rows that repeat an id can't be taken for each other
-    sets = written(shingle_arrays(picked, join).dropDuplicates(["digest"]), "sets")
     facts = involved.select("digest", F.struct("n", "shares", *(f"sk{j}" for j in range(SKETCH))).alias("f"))
-    known = shared.join(facts, "digest")
+    known = left.join(facts, "digest")
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        """(digest, s) of the sets in the pairs, from the texts of one document each; sets carry their own digest, so rows that repeat an id can't be taken for each other."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        reps = written(wanted.join(involved, "digest").select("rep").distinct(), "reps")
+        picked = docs.join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        return written(shingle_arrays(picked, join), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
         two = one.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return two.where(_linked(common, F.size("sa"), F.size("sb"), join)).select("a", "b")
+        return two.where(_linked(common, F.size("sa"), F.size("sb"), join)).select("a", "b").distinct()
 
+    # stars: every member with the most central set of its signature, the hub it shares most with
     hub = known.groupBy("sig").agg(F.max(F.struct(F.col("f.shares").alias("shares"), F.col("digest").alias("digest"), F.col("f").alias("f"))).alias("hub"))
     star = known.join(hub, "sig").select(F.col("hub.digest").alias("a"), F.col("hub.f").alias("fa"), F.col("digest").alias("b"), F.col("f").alias("fb"))
-    star = star.where((F.col("a") != F.col("b")) & _possible("fa", "fb", join)).select("a", "b").distinct()
-    edges = written(verified(star), "star")
+    star = star.where((F.col("a") != F.col("b")) & _possible("fa", "fb", join)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    star = written(star.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b"), "star")
+    sets = sets_for(star)
+    edges = written(verified(star, sets), "edges")
+    dropped(sets)
+    # the rest: pairs of signature mates in different components
     comps = written(connected_components(edges), "comps")
     named = known.join(comps.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", "f", F.coalesce("component", "digest").alias("c"))
-    apart = written(named.withColumn("c0", F.min("c").over(pairs_of)).withColumn("c1", F.max("c").over(pairs_of)).where("c0 <> c1").select("sig", "digest", "f", "c"), "apart")
+    mates = Window.partitionBy("sig")
+    apart = written(named.withColumn("c0", F.min("c").over(mates)).withColumn("c1", F.max("c").over(mates)).where("c0 <> c1").select("sig", "digest", "f", "c"), "apart")
     if not apart.isEmpty():
-        l, r = apart.select("sig", F.col("digest").alias("a"), F.col("f").alias("fa"), F.col("c").alias("ca")), apart.select(F.col("sig").alias("sig2"), F.col("digest").alias("b"), F.col("f").alias("fb"), F.col("c").alias("cb"))
-        rest = l.join(r, (F.col("sig") == F.col("sig2")) & (F.col("ca") < F.col("cb")) & _possible("fa", "fb", join)).select("a", "b").distinct()
-        edges = written(edges.unionByName(verified(rest)), "edges")
-    dropped(shared, sets, apart, comps)
+        one = apart.select("sig", F.col("digest").alias("a"), F.col("f").alias("fa"), F.col("c").alias("ca"))
+        two = apart.select(F.col("sig").alias("sig2"), F.col("digest").alias("b"), F.col("f").alias("fb"), F.col("c").alias("cb"))
+        rest = written(one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("ca") < F.col("cb")) & _possible("fa", "fb", join)).select("a", "b").distinct(), "rest")
+        if not rest.isEmpty():
+            sets = sets_for(rest)
+            edges = written(edges.unionByName(verified(rest, sets)), "edges")
+            dropped(sets)
+    dropped(left, involved, star, apart, comps)
     return edges
 
 
