@@ -41,12 +41,17 @@ class WordEncoder:
     """
 
     ODD = re.compile("[\x1c-\x1f]")  # str.split() parts here, the tokenizer doesn't
-    TAIL = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|&%$#*]+)")
+    TAIL = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|&%$#*]*)")
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str, room: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.room = Tokenizer.from_file(path), room
+        self.model = self.tok.model
+        # byte-level pre-tokenising: printable bytes stand for themselves, the others for the code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -56,7 +61,12 @@ class WordEncoder:
     def core(self, word: str) -> bytes:
         got = self.cores.get(word)
         if got is None:
-            got = self.cores[word] = self.whole(word)
+            if self.LETTERS.fullmatch(word):  # one pre-token: straight to the merges
+                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
+                got = np.array(ids, dtype="<u4").tobytes()
+            else:
+                got = self.whole(word)
+            self.cores[word] = got
         return got
 
     def learn(self, chunks: set[str]) -> None:
@@ -66,7 +76,7 @@ class WordEncoder:
         for c in chunks:
             if c not in self.words:
                 m = self.TAIL.fullmatch(c)  # letters and marks are different pre-tokens
-                self.words[c] = self.core(m[1].lower()) + self.core(m[2]) if m else self.core(c.lower()) if c.isalpha() and c.isascii() else self.whole(c)
+                self.words[c] = self.whole(c) if m is None else self.core(m[1].lower()) + self.core(m[2]) if m[2] else self.core(m[1].lower())
 
     def __call__(self, text: str) -> bytes:
         if self.ODD.search(text):
@@ -178,7 +188,6 @@ def plan_patterns(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple
                 return got
         return None
 
-    left: list[int] = []
     for first in range(capacity, 0, -1):
         while have[first] > 0:
             got = exact(first)
@@ -197,7 +206,6 @@ def plan_patterns(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple
                 lengths += [pick] * t
                 gap -= pick * t
             use(lengths)
-    del left
     return plans
 
 
