@@ -37,6 +37,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,30 +93,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; word hashes are remembered up to ``room`` words."""
-
-    def __init__(self, room: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.room = room
-
-    def __call__(self, text: bytes, width: int) -> np.ndarray:
-        words, known = text.translate(_LOWER).split(), self.known
-        if not words:
-            return np.empty(0, np.uint64)
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(known) > self.room:
-            known.clear()
-        width = min(width, len(h))
-        acc = np.full(len(h) - width + 1, np.uint64(width))
-        for k in range(width):
-            acc = mix(acc * _M1 + h[k : len(h) - width + 1 + k])
-        return np.unique(acc)
-
-
-_SHINGLER = Shingler()
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    width = min(width, len(h))
+    acc = np.full(len(h) - width + 1, np.uint64(width))
+    for k in range(width):
+        acc = mix(acc * _M1 + h[k : len(h) - width + 1 + k])
+    return np.unique(acc)
 
 
 def digest(s: np.ndarray) -> int:
@@ -166,7 +154,7 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             n, d, sk = [], [], []
             for t in _texts(batch, 1):
-                s = _SHINGLER(t, join.words)
+                s = shingles(t, join.words)
                 n.append(len(s))
                 d.append(digest(s))
                 sk.append(sketch(s))
@@ -188,7 +176,7 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
             for t in _texts(batch, 0):
-                s = _SHINGLER(t, join.words)
+                s = shingles(t, join.words)
                 d = digest(s)
                 if d in seen:
                     continue
@@ -207,7 +195,7 @@ def shingle_arrays(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_SHINGLER(t, join.words).view(np.int64) for t in _texts(batch, 0)]
+            sets = [shingles(t, join.words).view(np.int64) for t in _texts(batch, 0)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
             own = pa.array([digest(x.view(np.uint64)) for x in sets], pa.int64())
@@ -231,21 +219,21 @@ def _possible(a: str, b: str, join: Join) -> Column:
 
 
 def candidates(docs: DataFrame, join: Join) -> DataFrame:
-    """(sig, digest) of signatures that different sets share, each set without its most popular ones.
+    """(sig, digest, shares) of signatures that different sets share, each set without its most popular ones.
 
     Linked sets share 2 * extra + 1 signatures in a band. Leaving out of each set the
     2 * extra that come last in one order of all signatures (here by popularity) leaves
     one shared, and it is not one that many unrelated sets have by a common passage.
     """
-    pairs_of = Window.partitionBy("sig")
-    shared = signed(docs, join).withColumn("lo", F.min("digest").over(pairs_of)).withColumn("hi", F.max("digest").over(pairs_of)).where("lo <> hi")
-    shared = written(shared.groupBy("sig", "digest").agg(F.count(F.lit(1)).alias("rows")), "shared")
+    mates = Window.partitionBy("sig")
+    shared = signed(docs, join).withColumn("lo", F.min("digest").over(mates)).withColumn("hi", F.max("digest").over(mates)).where("lo <> hi")
+    # still together by signature: neither step below moves a row
+    shared = written(shared.groupBy("sig", "digest").agg(F.count(F.lit(1)).alias("rows")).withColumn("sets", F.count(F.lit(1)).over(mates)).select("sig", "digest", "sets"), "shared")
     band = F.col("sig").bitwiseAND(F.lit(BAND_BITS))
     spare = F.element_at(F.array(*(F.lit(2 * join.extra(b)) for b in range(len(join.bands)))), (band + 1).cast("int"))
-    popular = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
     last_first = Window.partitionBy("digest", "band").orderBy(F.desc("sets"), F.desc("sig"))
-    ranked = shared.select("sig", "digest").join(popular, "sig").withColumn("band", band).withColumn("place", F.row_number().over(last_first))
-    left = written(ranked.where(F.col("place") > spare).select("sig", "digest"), "left")
+    ranked = shared.withColumn("band", band).withColumn("shares", F.count(F.lit(1)).over(Window.partitionBy("digest"))).withColumn("place", F.row_number().over(last_first))
+    left = written(ranked.where(F.col("place") > spare).select("sig", "digest", "shares"), "left")
     dropped(shared)
     return left
 
@@ -253,11 +241,11 @@ def candidates(docs: DataFrame, join: Join) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
     """(doc_id, text) and (digest, n, rep, sk..) -> (a, b) edges between digests whose components are those of all links."""
     left = candidates(docs, join)
-    involved = written(left.groupBy("digest").agg(F.count(F.lit(1)).alias("shares")).join(nodes, "digest").select("digest", "shares", "n", "rep", *(f"sk{j}" for j in range(SKETCH))), "involved")
+    involved = written(left.select("digest").distinct().join(nodes, "digest").select("digest", "n", "rep", *(f"sk{j}" for j in range(SKETCH))), "involved")
     if involved.isEmpty():
         return None
-    facts = involved.select("digest", F.struct("n", "shares", *(f"sk{j}" for j in range(SKETCH))).alias("f"))
-    known = left.join(facts, "digest")
+    facts = involved.select("digest", F.struct("n", *(f"sk{j}" for j in range(SKETCH))).alias("f"))
+    fa, fb = facts.withColumnsRenamed({"digest": "a", "f": "fa"}), facts.withColumnsRenamed({"digest": "b", "f": "fb"})
 
     def sets_for(pairs: DataFrame) -> DataFrame:
         """(digest, s) of the sets in the pairs, from the texts of one document each; sets carry their own digest, so rows that repeat an id can't be taken for each other."""
@@ -273,18 +261,18 @@ def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
         return two.where(_linked(common, F.size("sa"), F.size("sb"), join)).select("a", "b").distinct()
 
     # stars: every member with the most central set of its signature, the hub it shares most with
-    hub = known.groupBy("sig").agg(F.max(F.struct(F.col("f.shares").alias("shares"), F.col("digest").alias("digest"), F.col("f").alias("f"))).alias("hub"))
-    star = known.join(hub, "sig").select(F.col("hub.digest").alias("a"), F.col("hub.f").alias("fa"), F.col("digest").alias("b"), F.col("f").alias("fb"))
-    star = star.where((F.col("a") != F.col("b")) & _possible("fa", "fb", join)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    hub = left.groupBy("sig").agg(F.max(F.struct("shares", "digest")).alias("hub"))
+    star = left.join(hub, "sig").where(F.col("hub.digest") != F.col("digest")).groupBy(F.col("hub.digest").alias("a"), F.col("digest").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    star = star.join(fa, "a").join(fb, "b").where(_possible("fa", "fb", join))
     star = written(star.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b"), "star")
     sets = sets_for(star)
     edges = written(verified(star, sets), "edges")
     dropped(sets)
     # the rest: pairs of signature mates in different components
     comps = written(connected_components(edges), "comps")
-    named = known.join(comps.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", "f", F.coalesce("component", "digest").alias("c"))
+    named = left.join(comps.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("component", "digest").alias("c"))
     mates = Window.partitionBy("sig")
-    apart = written(named.withColumn("c0", F.min("c").over(mates)).withColumn("c1", F.max("c").over(mates)).where("c0 <> c1").select("sig", "digest", "f", "c"), "apart")
+    apart = written(named.withColumn("c0", F.min("c").over(mates)).withColumn("c1", F.max("c").over(mates)).where("c0 <> c1").join(facts, "digest").select("sig", "digest", "f", "c"), "apart")
     if not apart.isEmpty():
         one = apart.select("sig", F.col("digest").alias("a"), F.col("f").alias("fa"), F.col("c").alias("ca"))
         two = apart.select(F.col("sig").alias("sig2"), F.col("digest").alias("b"), F.col("f").alias("fb"), F.col("c").alias("cb"))
