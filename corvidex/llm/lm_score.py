@@ -1,17 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of the target documents and of all documents (the background),
-share one vocabulary, one table layout and one smoothing. A document's score is the
-mean over its tokens of the difference of their losses, target minus background:
-low scores are like the target.
+share one vocabulary and one smoothing. A document's score is the mean over its tokens
+of the difference of their losses, target minus background: low scores are like the
+target.
 
-Counting goes over every document: words are counted by an aggregate with partial
-sums; the most frequent ``VOCABULARY`` of them get ids (the rest share one). Each
-task then adds up bigrams in a hashed table of ``CELLS`` counts and sends its
-non-zero cells; the exchange sums cells. What is broadcast is bounded by the
-vocabulary and the table (about 20 MB), however large the corpus.
+Every word and every pair of neighbours is counted, by its bytes: there is no cap and
+no hashing, and the tables grow with the corpus. Documents are coded in blocks of about
+``BLOCK`` bytes of text; a block sends each of its distinct words and pairs once, with
+its own counts, so a hot pair meets as many rows as there are blocks, not documents.
+The sums go back to the blocks, which score their documents.
 
-``P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)``, ``P(w) = (c(w) + 1) / (N + V)``.
+``P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)``, ``P(w) = (c(w) + 1) / (N + V)``, V the
+number of distinct words, ``VOCABULARY`` at least.
 
 Defined cases: null and empty texts have no tokens and score 0; without target
 documents the target model is uniform; repeated rows count and score once each.
@@ -23,22 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from corvidex.plans.shared import arrow_batches, as_text, join_small, written
 
+#: Least number of words that the smoothing allows for.
 VOCABULARY = 1 << 16
-CELLS = 1 << 20
+#: Bytes of text coded together; bounds the memory of a task, not what is counted.
+BLOCK = 12 << 20
 MU = 50.0
 BLANKS = r"[\x20\x09-\x0D]+"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ROWS = 1 << 16
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text", room: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words (ASCII lower case), at most ``room`` - 1; ties by the word."""
+    """The most frequent words (ASCII lower case), at most ``room`` - 1; ties by the word. For inspection: scoring uses all words."""
     a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = docs.select(F.explode(F.split(F.translate(as_text(text), a_z, a_z.lower()), BLANKS)).alias("w")).where("w <> ''")
     top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(room - 1)
@@ -46,73 +51,118 @@ def vocabulary(docs: DataFrame, *, text: str = "text", room: int = VOCABULARY) -
 
 
 def cells_of(ids: np.ndarray) -> np.ndarray:
-    """Hashed cell of each neighbouring pair."""
-    x = ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((x ^ (x >> np.uint64(31))) * np.uint64(0x165667B19E3779F9) >> np.uint64(44)).astype(np.int64) & (CELLS - 1)
+    """Exact key of each neighbouring pair of a block's word ids."""
+    return ids[:-1].astype(np.int64) << 32 | ids[1:].astype(np.int64)
 
 
-def ids_of(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """Id 0 is every other word."""
-    return np.array([known.get(w, 0) for w in (text or b"").translate(_LOWER).split()], dtype=np.int64)
+def pairs_of(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens of all documents in a row: where one has a history, and the keys of those pairs."""
+    inner = np.ones(len(ids), dtype=bool)
+    first = np.cumsum(sizes) - sizes
+    inner[first[sizes > 0]] = False
+    return inner, cells_of(ids)[inner[1:]]
 
 
-def counts(docs: DataFrame, words: list[bytes], *, text: str = "text", target: str = "target") -> np.ndarray:
-    """[2, VOCABULARY + CELLS] counts of ids and cells: row 0 in the background, row 1 in the target."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
+def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """Written table of blocks of ``docs`` (id, text, target).
+
+    Rows with a key: block, at, word, key, b, t: a distinct word (at: its id in the block) or pair (the words
+    joined by a blank) with the block's counts. Rows without: block, id, ids, a document as int32 word ids.
+    """
+    kind = docs.schema["id"].dataType
+    schema = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("at", T.IntegerType()), ("word", T.BooleanType()), ("key", T.BinaryType()), ("b", T.LongType()), ("t", T.LongType()), ("id", kind), ("ids", T.BinaryType()))])
+
+    def out(n: int, own: pa.Schema, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, n, _ROWS):
+            m = min(_ROWS, n - lo)
+            yield pa.RecordBatch.from_arrays([columns[f.name].slice(lo, m).cast(f.type) if f.name in columns else pa.nulls(m, f.type) for f in own], schema=own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, VOCABULARY + CELLS), dtype=np.int64)
+        own, at = None, TaskContext.get().partitionId() << 32
+        known: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        wanted: list[bool] = []
+        held = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+            inner, pairs = pairs_of(ids, sizes)
+            target = np.repeat(np.array(wanted), sizes)
+            found, where, n = np.unique(pairs, return_inverse=True, return_counts=True)
+            words = pa.array(list(known), pa.binary())
+            b = np.concatenate([np.bincount(ids, minlength=len(words)), n])
+            t = np.concatenate([np.bincount(ids[target], minlength=len(words)), np.bincount(where[target[inner]], minlength=len(found))])
+            keys = [words, pc.binary_join_element_wise(words.take(pa.array(found >> 32)), words.take(pa.array(found & 0xFFFFFFFF)), pa.scalar(b" ", pa.binary()))]
+            k = np.arange(len(b))
+            yield from out(len(b), own, block=pa.array(np.full(len(b), at)), at=pa.array(k), word=pa.array(k < len(words)), key=pa.concat_arrays(keys), b=pa.array(b), t=pa.array(t))
+
         for batch in batches:
-            for t, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(t, known.value)
-                at = np.concatenate([ids, cells_of(ids) + VOCABULARY])
-                np.add.at(table[0], at, 1)
-                if wanted:
-                    np.add.at(table[1], at, 1)
-        cell = np.flatnonzero(table[0])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[0][cell]), pa.array(table[1][cell])], ["cell", "b", "t"])
+            if own is None:
+                types = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), batch.column(0).type, pa.binary()]
+                own = pa.schema([pa.field(n, t) for n, t in zip(schema.names, types, strict=True)])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            new = [np.array([known.setdefault(w, len(known)) for w in t.translate(_LOWER).split()], dtype=np.int32) for t in texts]
+            parts += new
+            wanted += [bool(x) for x in batch.column(2).to_pylist()]
+            yield from out(len(new), own, block=pa.array(np.full(len(new), at)), id=batch.column(0), ids=pa.array([x.tobytes() for x in new], pa.binary()))
+            held += sum(map(len, texts))
+            if held >= block:
+                yield from closed()
+                known, parts, wanted, held, at = {}, [], [], 0, at + 1
+        if parts:
+            yield from closed()
 
     arrow_batches(docs.sparkSession)
-    sums = docs.select(as_text(text).alias("text"), F.col(target)).mapInArrow(run, "cell long, b long, t long").groupBy("cell").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    got = sums.toArrow()  # at most VOCABULARY + CELLS rows
-    out = np.zeros((2, VOCABULARY + CELLS), dtype=np.int64)
-    out[0, got["cell"].to_numpy()] = got["b"].to_numpy()
-    out[1, got["cell"].to_numpy()] = got["t"].to_numpy()
-    return out
-
-
-def losses(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Loss of each token in nats; the first has no history."""
-    uni = table[:VOCABULARY]
-    p = (uni[ids] + 1.0) / (uni.sum() + VOCABULARY)
-    if len(ids) > 1:
-        p[1:] = (table[VOCABULARY + cells_of(ids)] + MU * p[1:]) / (uni[ids[:-1]] + MU)
-    return -np.log(p)
+    return written(docs.select("id", as_text("text").alias("text"), "target").mapInArrow(run, schema), "coded")
 
 
-def score(docs: DataFrame, words: list[bytes], table: np.ndarray, *, text: str = "text") -> DataFrame:
-    """``docs`` with lm = struct<n_tokens, target_loss, background_loss, difference> of every whole text."""
-    sc = docs.sparkSession.sparkContext
-    known, model = sc.broadcast({w: i + 1 for i, w in enumerate(words)}), sc.broadcast(table.astype(np.float32))
-    fields = [("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
+def counted(blocks: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Written table of block, at, b, t: the counts of each block's words and pairs in all documents; tokens of background and target, distinct words."""
+    keys = blocks.where("key is not null").select("block", "at", "word", "key", "b", "t").repartition("key").withColumn("h", F.xxhash64("key"))
+    whole = Window.partitionBy("h", "key")  # the hash only makes the sort cheap
+    sums = written(
+        keys.select("block", "at", "word", F.sum("b").over(whole).alias("b"), F.sum("t").over(whole).alias("t"), (F.col("block") == F.min("block").over(whole)).alias("first")), "counted"
+    )
+    n = sums.where("word and first").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count(F.lit(1))).first()
+    return sums.select("block", "at", "b", "t"), (n[0], n[1], n[2])
+
 
-    @arrow_udf(T.StructType([T.StructField(*f) for f in fields]))
-    def scored(text: pa.Array) -> pa.Array:
-        rows = []
-        for t in text.cast(pa.binary()).to_pylist():
-            ids = ids_of(t, known.value)
-            b, q = (float(losses(ids, model.value[k]).mean()) if len(ids) else 0.0 for k in (0, 1))
-            rows.append((len(ids), q, b, q - b))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], [f[0] for f in fields])
+def losses(ids: np.ndarray, inner: np.ndarray, where: np.ndarray, table: np.ndarray, total: int, room: int) -> np.ndarray:
+    """Loss of each token in nats; the first of a document has no history. ``table``: counts of the words, then of the pairs; ``where``: place of each pair."""
+    p = (table[ids] + 1.0) / (total + room)
+    p[inner] = (table[where] + MU * p[inner]) / (table[ids[np.flatnonzero(inner) - 1]] + MU)
+    return -np.log(p)
 
-    return docs.withColumn("lm", scored(as_text(text)))
 
+def score(blocks: DataFrame, sums: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
+    """id, n_tokens, target_loss, background_loss, difference of every document of :func:`coded`."""
+    n_b, n_t, words = totals
+    room = max(words, VOCABULARY)
+    fields = [("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, dtype=np.int32) for x in docs["ids"].to_pylist()]
+        sizes = np.array([len(x) for x in parts])
+        loss = np.zeros((2, len(parts)))
+        if sizes.sum():
+            ids = np.concatenate(parts)
+            inner, pairs = pairs_of(ids, sizes)
+            where = np.unique(pairs, return_inverse=True)[1] + ids.max() + 1
+            of = np.repeat(np.arange(len(parts)), sizes)
+            for k, (name, total) in enumerate((("b", n_b), ("t", n_t))):
+                table = np.zeros(known.num_rows)
+                table[known["at"].to_numpy()] = known[name].to_numpy()
+                loss[k] = np.bincount(of, losses(ids, inner, where, table, total, room), len(parts)) / np.maximum(sizes, 1)
+        return pa.table([docs["id"], pa.array(sizes), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])], names=["id", *(f[0] for f in fields)])
+
+    docs = blocks.where("key is null").select("block", "id", "ids")
+    schema = T.StructType([T.StructField("id", blocks.schema["id"].dataType), *(T.StructField(*f) for f in fields)])
+    return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference; ``target_ids``: one column of the ids of target documents."""
     wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("id")).distinct().withColumn("target", F.lit(True)), "target")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    words = vocabulary(rows)
-    table = counts(join_small(rows, wanted, ["id"], "left"), words)
-    return score(rows, words, table).select(F.col("id").alias("doc_id"), "lm.*")
+    blocks = coded(join_small(rows, wanted, ["id"], "left"), block=block)
+    return score(blocks, *counted(blocks)).withColumnRenamed("id", "doc_id")

@@ -39,3 +39,40 @@ def test_against_brute_force(spark, odd, none):
     assert got[1].difference < got[2].difference
     assert lm.cross_entropy_difference(odd, target).count() == odd.count()
     assert lm.cross_entropy_difference(none, target.limit(0)).count() == 0
+
+
+def exact(rows, wanted):
+    """Differences by dictionaries of words and pairs, as the formulas say."""
+    words = {i: (t or "").lower().split() for i, t in rows}
+    room = max(lm.VOCABULARY, len({w for ws in words.values() for w in ws}))
+
+    def loss(own, part):
+        uni, two = Counter(w for k in part for w in words[k]), Counter(p for k in part for p in zip(words[k], words[k][1:], strict=False))
+        total, out = sum(uni.values()), 0.0
+        for u, w in zip([None, *own], own, strict=False):
+            p = (uni[w] + 1) / (total + room)
+            out -= math.log(p if u is None else (two[u, w] + lm.MU * p) / (uni[u] + lm.MU))
+        return out / max(len(own), 1)
+
+    return {i: loss(ws, wanted) - loss(ws, list(words)) for i, ws in words.items() if i in CHECKED}
+
+
+CHECKED = (0, 1, 2, 3)
+
+
+def test_words_and_pairs_beyond_any_fixed_table_are_exact(spark):
+    """More than 2^16 words: rare words and pairs keep their own counts, over several blocks too."""
+    rows = [(0, "rare1 rare2 rare1 rare2"), (1, "rare3 rare4 rare3 rare9"), (2, "rare2 rare1 w7 w8"), (3, None)]
+    rows += [(10 + i, " ".join(f"w{(i * 700 + j) * (1 + i % 2) % 90000}" for j in range(700))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(0,), (11,)], "doc_id long")
+    want = exact(rows, [0, 11])
+    for block in (lm.BLOCK, 20000):
+        got = {r.doc_id: r.difference for r in lm.cross_entropy_difference(docs, target, block=block).collect()}
+        assert len(got) == len(rows)
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in CHECKED)
+
+
+def test_empty_texts_alone(spark):
+    docs = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert {(r.n_tokens, r.difference) for r in lm.cross_entropy_difference(docs, docs.select("doc_id")).collect()} == {(0, 0.0)}
