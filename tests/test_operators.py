@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corvidex import queries
 from corvidex.operators import fts, graph, keywords, quality, tools, upsert
 from corvidex.operators.tfidf import Corpus, Options, cosine_to, scores, validation
 from corvidex.plans import recovery
@@ -186,6 +187,29 @@ def test_components_match_union_find(spark):
     assert {(x.i, x.group) for x in graph.groups_by_value(rows, "i", "v").collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
 
 
+def test_registered_component_search_sees_every_row(spark, tmp_path):
+    """A hot value, a chain, singletons and nulls, none of which the filter of related_groups lets in; then a whole table."""
+    pairs = [(i, 1) for i in range(1, 300)] + [(1000 + i, 5000 + i + k) for i in range(40) for k in (0, 1)] + [(3000, 1), (3000, 7), (3001, 7), (4000, 9), (4001, None), (None, 9)]
+    spark.createDataFrame(pairs, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        items = set()
+        for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+            if r[0] is not None:
+                items.add(r[0])
+                if r[1] is not None:
+                    a, b = root((0, r[0])), root((1, r[1]))
+                    up[max(a, b)] = min(a, b)
+        got = queries.QUERIES["related_groups_all"](spark, d).collect()
+        assert sorted((x.item, x.group) for x in got) == sorted((i, root((0, i))[1]) for i in items)
+
+
 def test_packing_of_groups():
     out = graph.packed_batches([("a", 7), ("b", 3), ("c", 2), ("d", 23)], 10)
     assert out == [[("d", 0, 10)], [("d", 10, 20)], [("d", 20, 23)], [("a", 0, 7), ("b", 0, 3)], [("c", 0, 2)]]
