@@ -46,8 +46,6 @@ FDR = 0.01
 #: Upper ends of the length classes.
 CLASSES = (24, 32, 48)
 STEPS = 400
-#: No step below this (p > 1e-5) is added, however few candidates compete.
-LEAST_STEP = 50
 #: (name, characters, size, excess of chi-squared a character that text shows in it, share of changes of class that text shows in it)
 ALPHABETS = (
     ("digits", "[0-9]", 10, 0.6, 0.40),
@@ -156,7 +154,7 @@ def limits(found: DataFrame) -> list[int]:
         total, rank, best = sum(n for _, n in steps), 0, STEPS + 1
         for step, n in steps:
             rank += n
-            if step >= LEAST_STEP and total * 10 ** (-step / 10) <= FDR * rank:
+            if total * 10 ** (-step / 10) <= FDR * rank:
                 best = step
         out.append(best)
     return out

@@ -4,6 +4,8 @@ import re
 import string
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corvidex.llm import secrets
 from corvidex.llm.queries import op6_randomness_secrets
 
@@ -51,6 +53,31 @@ def test_battery_finds_random_tokens_and_spares_words(spark):
     assert sum(got[1000 + i] for i in range(len(words))) == 0
 
 
+def test_short_random_keys_are_found_among_as_many_ordinary_runs(spark):
+    """Benjamini-Hochberg alone decides: no floor below which a step is refused."""
+    r = random.Random(11)
+    alphabets = {"HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.digits + string.ascii_lowercase, "letters": string.ascii_letters, "base62": string.ascii_letters + string.digits}
+    least = {("base62", 20): 0.75, ("base36", 20): 0.35, ("letters", 20): 0.45, ("HEX", 20): 0.35, ("base62", 32): 0.9, ("base36", 32): 0.65, ("HEX", 32): 0.65, ("base32", 32): 0.5}
+    words = "that erending have information nation internal ization snake identifier length main example widget abstract singleton proxy factory quick brown jumps".split()
+    marks = {"lower": "", "Camel": "", "snake_": "_", "kebab-": "-", "path/": "/"}
+    runs = []
+    for kind, n in least:
+        runs += [((kind, n), "".join(r.choices(alphabets[kind], k=n))) for _ in range(100)]
+        for _ in range(100):
+            mark = r.choice(list(marks))
+            runs.append((None, marks[mark].join(w.capitalize() if mark == "Camel" else w for w in r.choices(words, k=12))[:n].rstrip("_-/").ljust(n, "e")))
+    rows = [(i, f"some text {x} and more") for i, (_, x) in enumerate(runs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: len(x.random) for x in secrets.scan(docs).collect()}
+    assert set(got.values()) <= {0, 1}
+    hits = Counter(runs[i][0] for i, n in got.items() if n)
+    assert hits.pop(None, 0) <= 0.02 * hits.total()
+    for k, share in least.items():
+        assert hits[k] >= 100 * share, (k, hits[k])
+    clean = {x.doc_id: x.text for x in secrets.redacted(docs.withColumn("n_chars", F.length("text"))).collect()}
+    assert all(("[SECRET]" in clean[i]) == bool(n) for i, n in got.items())
+
+
 def test_redaction(spark, odd, none):
     docs = spark.createDataFrame([(1, "my password=abcdef123 and AKIA" + "Z" * 16 + " 😀 end", "en", "s", 40), (2, "clean", "en", "s", 5), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
