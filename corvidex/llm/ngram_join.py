@@ -285,8 +285,8 @@ def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
     return edges
 
 
-def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row a document; component_id is the smallest id reachable by links."""
+def placed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, digest, c, component_id: one row a document; c names the component by a digest (null without shingles)."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), as_text(text).alias("text"))
     sets = written(sets_of(rows, join), "sets")
@@ -295,26 +295,54 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", j
     )
     edges = links(rows, nodes, join)
     if edges is None:
-        place = nodes.select("digest", F.col("rep").alias("component_id"))
+        place = nodes.select("digest", F.col("digest").alias("c"), F.col("rep").alias("component_id"))
     else:
         comp = connected_components(edges)
         named = nodes.join(comp.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("c"))
         least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-        place = named.join(least, "c").select("digest", "component_id")
+        place = named.join(least, "c").select("digest", "c", "component_id")
     place = written(place, "place")
-    some = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(place, "digest").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    cols = ["doc_id", "n_shingles", "digest", "c", "component_id"]
+    some = sets.where("n_shingles > 0").select(*cols[:3]).join(place, "digest").select(*cols)
+    none = F.lit(None).cast(sets.schema["digest"].dataType)
+    return some.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", none.alias("digest"), none.alias("c"), F.col("doc_id").alias("component_id")))
+
+
+def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row a document; component_id is the smallest id reachable by links."""
+    return placed(docs, doc_id=doc_id, text=text, join=join).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join(5, 80)) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; repeated rows go too."""
-    found = components(docs, doc_id=doc_id, text=text, join=join)
-    # rows that repeat an id are few or exact copies; they alone are compared as rows
+    """``docs`` with exactly one row of each component, one with the smallest id (null after all others); repeated rows go too.
+
+    Rows without shingles are in no component: they stay, but for rows that repeat an id and its text.
+    """
+    found = placed(docs, doc_id=doc_id, text=text, join=join)
+    # an id of one row tells which row to drop; rows with a repeated or null id are told apart by their set
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    if not again.isEmpty():
-        twice = kept.join(again, F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id])
-        kept = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti").unionByName(twice)
+    kept = docs.where(F.col(doc_id).isNotNull()).join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    repeated, nameless = not again.isEmpty(), not found.where("doc_id is null").isEmpty()
+    unclear = docs.where(F.col(doc_id).isNull())
+    if repeated:
+        kept = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
+        unclear = unclear.unionByName(docs.join(again, F.col(doc_id) == F.col("_again"), "left_semi"))
+    if repeated or nameless:
+        kept = kept.unionByName(_kept_rows(unclear, found, doc_id, text, join))
     return kept
+
+
+def _kept_rows(rows: DataFrame, found: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
+    """Of ``rows``, which repeat ids or have none, one for each component that is theirs by :func:`placed`, and those without shingles."""
+    least = found.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
+    keepers = written(least.select(F.col("k.doc_id").alias("_keeper"), F.col("k.digest").alias("_set")), "keepers")
+    texts = rows.select(as_text(text).alias("text")).distinct()
+    sets = written(sets_of(texts.select(F.col("text").alias("doc_id"), "text"), join).select(F.col("doc_id").alias("_text"), F.col("n_shingles").alias("_n"), F.col("digest").alias("_digest")), "texts")
+    told = rows.join(sets, as_text(text) == F.col("_text"))
+    own = F.col(doc_id)
+    one = told.where("_n > 0").join(keepers, (F.col("_digest") == F.col("_set")) & own.eqNullSafe(F.col("_keeper")), "left_semi").dropDuplicates([doc_id, "_digest"])
+    bare = told.where("_n = 0")
+    bare = bare.where(own.isNull()).unionByName(bare.where(own.isNotNull()).dropDuplicates([doc_id, "_text"]))
+    return one.unionByName(bare).select(*(F.col(f"`{c}`") for c in rows.columns))

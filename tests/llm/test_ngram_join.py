@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -94,3 +94,17 @@ def test_odd_rows(spark, odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids))
     assert nj.components(none).count() == 0 and nj.one_of_each(none).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Repeated ids with different texts, and null ids: every component keeps one row, no text loses its last copy."""
+    def prose(k):
+        return " ".join(f"{k}word{i}" for i in range(40))
+
+    rows = [(1, prose("a")), (5, prose("a")), (5, prose("b")), (7, prose("c")), (7, prose("d")), (7, prose("d")), (8, prose("d"))]
+    rows += [(None, prose("e")), (None, prose("e")), (None, prose("f")), (2, prose("f")), (None, prose("g")), (9, prose("h") + " tail"), (9, prose("h"))]
+    rows += [(None, "x"), (None, None), (6, "y"), (6, "y"), (6, "z"), (3, None)]
+    kept = nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    long = Counter((r.doc_id, r.text.split()[0][0]) for r in kept if r.text and len(r.text) > 5)
+    assert long == Counter([(1, "a"), (5, "b"), (7, "c"), (7, "d"), (None, "e"), (2, "f"), (None, "g"), (9, "h")])
+    assert Counter((r.doc_id, r.text) for r in kept if not r.text or len(r.text) <= 5) == Counter([(None, "x"), (None, None), (6, "y"), (6, "z"), (3, None)])
