@@ -17,6 +17,7 @@ from corvidex.functions.dates import period
 from corvidex.operators import fts, graph, keywords, quality, tools
 from corvidex.operators import upsert as up
 from corvidex.operators.tfidf import Corpus, Options, cosine_to, validation
+from corvidex.plans.shared import written
 from corvidex.sources import feed, store
 from corvidex.sources.fixtures import ATTRIBUTES, COMMENTS, ISSUES, attributes, comments, issues, key, table
 
@@ -312,6 +313,17 @@ def index_consistency(spark, d):
     return fts.inconsistencies(table(spark, d, "documents"), "doc_id", ["text", "source"], p)
 
 
+#: Faults of an index written earlier: documents it misses, a column it misses, documents deleted since.
+MISSED, DELETED = "doc % 7 = 0 OR (doc % 5 = 0 AND col = 'source')", "doc % 11 = 0"
+
+
+@query(f"WITH {POST}, old AS (SELECT doc FROM post WHERE NOT ({MISSED}) UNION ALL SELECT doc + 1000000000 FROM post WHERE {DELETED}), stored AS (SELECT doc, count(*) AS stored FROM old GROUP BY doc), fresh AS (SELECT doc, count(*) AS fresh FROM post GROUP BY doc) SELECT doc, coalesce(stored, 0) AS stored, coalesce(fresh, 0) AS fresh FROM stored FULL JOIN fresh USING (doc) WHERE coalesce(stored, 0) <> coalesce(fresh, 0)")
+def index_differences(spark, d):
+    p = post(spark, d)
+    index = written(p.where(f"NOT ({MISSED})").unionByName(p.where(DELETED).withColumn("doc", F.col("doc") + 1000000000)), "index")
+    return fts.inconsistencies(table(spark, d, "documents"), "doc_id", ["text", "source"], index)
+
+
 # --- cleaning -------------------------------------------------------------------------------------
 
 

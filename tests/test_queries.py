@@ -16,6 +16,11 @@ def test_equals_sql(spark, con, name):
     assert_same(QUERIES[name](spark, SF), con, ORACLES[name])
 
 
+def test_stored_index_with_faults_differs_on_both_sides(spark):
+    rows = QUERIES["index_differences"](spark, SF).collect()
+    assert any(r.stored == 0 for r in rows) and any(r.fresh == 0 for r in rows) and any(0 < r.stored < r.fresh for r in rows)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
