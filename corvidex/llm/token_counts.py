@@ -7,7 +7,9 @@ boundaries meet the old ones, encodes only those pre-tokens and updates the sums
 above the blocks it touched. Splitting looks ahead but never back, so from a common
 boundary on nothing changes.
 
-A tree goes to and from a table as its list of pre-token lengths and counts.
+Trees live inside one call and are not kept in a table: ``edited_counts`` splits and
+counts every whole text once before its edits, so only the edits themselves are saved
+work (``n_encoded`` pre-tokens for all of them).
 
 Defined cases: null and empty texts have no tokens; edits beyond the end are cut to
 it; rows are independent, so repeated rows and ties don't matter.
