@@ -6,8 +6,9 @@ into n1 cells of 3 sub-cells each; n1 is chosen so that at least one cell of two
 linked sets differs in at most one place. For every cell the 3 ways of leaving one
 sub-cell out are enumerated, and the content of the two others is a signature, so
 linked sets share one. A set near the upper end of its band signs in the next band
-too. An eighth more cells than that makes them share several, so each set may leave
-out its most popular signatures, which unrelated sets have by common passages.
+too. A quarter more cells than that makes them share many, so each set may leave out
+its signatures of least content before any shuffle, and its most popular ones after
+it: both are what unrelated sets share by a common passage.
 
 Signatures without content say nothing and would be shared by many; they are left
 out wherever a set has cells to spare (then the argument holds on its other cells)
@@ -42,11 +43,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvidex.operators.graph import connected_components
-from corvidex.plans.shared import BROADCAST_ROWS, arrow_batches, as_text, dropped, written
+from corvidex.plans.shared import BROADCAST_ROWS, arrow_batches, as_text, dropped, join_small, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-SKETCH = 4
+SKETCH = 8
 #: The low bits of a signature name its band.
 BAND_BITS = 63
 
@@ -80,7 +81,8 @@ class Join:
         return least + extra, least + extra + (max(1, least // 12) if least > 4 else 0)
 
     def extra(self, band: int) -> int:
-        return ((self.bands[band][1] + 2) // 2) // 8
+        """Of the 2 * extra + 1 signatures shared, as many may go by content and as many again by popularity."""
+        return ((self.bands[band][1] + 2) // 2) // 4
 
     def bands_of(self, size: int) -> list[int]:
         tops = [r for r, _ in self.bands]
@@ -111,7 +113,7 @@ def digest(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """256 parity bits: each element flips one, so sketches differ in no more bits than sets in elements."""
+    """512 parity bits: each element flips one, so sketches differ in no more bits than sets in elements."""
     bits = np.bincount((mix(s * _M3) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -136,9 +138,13 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
         where = (np.arange(3 * n1, dtype=np.uint64) + np.uint64(b) * np.uint64(1 << 40)).reshape(n1, 3)
         sig = mix(mix(where * _M1 + left[:, :, 0]) * _M3 + left[:, :, 1])
         full = size > 0
-        if full.all(axis=1).sum() >= need:
-            sig = sig[full]
-        out.append((sig.ravel() & ~np.uint64(BAND_BITS)) | np.uint64(b & BAND_BITS))
+        if full.all(axis=1).sum() < need:
+            full[:] = True
+        sig, size = sig[full], size[full]
+        # those of least content go: one order of all signatures, as equal ones have equal content
+        few = join.extra(b)
+        sig = sig[np.lexsort((sig, size))[few:]] if few else sig
+        out.append((sig & ~np.uint64(BAND_BITS)) | np.uint64(b & BAND_BITS))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -221,16 +227,17 @@ def _possible(a: str, b: str, join: Join) -> Column:
 def candidates(docs: DataFrame, join: Join) -> DataFrame:
     """(sig, digest, shares) of signatures that different sets share, each set without its most popular ones.
 
-    Linked sets share 2 * extra + 1 signatures in a band. Leaving out of each set the
-    2 * extra that come last in one order of all signatures (here by popularity) leaves
-    one shared, and it is not one that many unrelated sets have by a common passage.
+    Linked sets share extra + 1 of the signatures that :func:`signatures` gives. Leaving
+    out of each set the extra ones that come last in one order of all signatures (here by
+    popularity) leaves one shared, and it is not one that many unrelated sets have by a
+    common passage.
     """
     mates = Window.partitionBy("sig")
     shared = signed(docs, join).withColumn("lo", F.min("digest").over(mates)).withColumn("hi", F.max("digest").over(mates)).where("lo <> hi")
     # still together by signature: neither step below moves a row
-    shared = written(shared.groupBy("sig", "digest").agg(F.count(F.lit(1)).alias("rows")).withColumn("sets", F.count(F.lit(1)).over(mates)).select("sig", "digest", "sets"), "shared")
+    shared = written(shared.select("sig", "digest").distinct().withColumn("sets", F.count(F.lit(1)).over(mates)).select("sig", "digest", "sets"), "shared")
     band = F.col("sig").bitwiseAND(F.lit(BAND_BITS))
-    spare = F.element_at(F.array(*(F.lit(2 * join.extra(b)) for b in range(len(join.bands)))), (band + 1).cast("int"))
+    spare = F.element_at(F.array(*(F.lit(join.extra(b)) for b in range(len(join.bands)))), (band + 1).cast("int"))
     last_first = Window.partitionBy("digest", "band").orderBy(F.desc("sets"), F.desc("sig"))
     ranked = shared.withColumn("band", band).withColumn("shares", F.count(F.lit(1)).over(Window.partitionBy("digest"))).withColumn("place", F.row_number().over(last_first))
     left = written(ranked.where(F.col("place") > spare).select("sig", "digest", "shares"), "left")
@@ -258,7 +265,8 @@ def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
         one = pairs.join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
         two = one.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return two.where(_linked(common, F.size("sa"), F.size("sb"), join)).select("a", "b").distinct()
+        # no distinct here: it would keep the rows of a hub together, which a skewed join may split
+        return two.where(_linked(common, F.size("sa"), F.size("sb"), join)).select("a", "b")
 
     # stars: every member with the most central set of its signature, the hub it shares most with
     hub = left.groupBy("sig").agg(F.max(F.struct("shares", "digest")).alias("hub"))
@@ -299,8 +307,10 @@ def placed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join:
     else:
         comp = connected_components(edges)
         named = nodes.join(comp.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("c"))
-        least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-        place = named.join(least, "c").select("digest", "c", "component_id")
+        # a written table of a row a component joins without gathering the component's rows
+        named = written(named, "named")
+        least = written(named.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
+        place = join_small(named, least, ["c"], "inner").select("digest", "c", "component_id")
     place = written(place, "place")
     cols = ["doc_id", "n_shingles", "digest", "c", "component_id"]
     some = sets.where("n_shingles > 0").select(*cols[:3]).join(place, "digest").select(*cols)
