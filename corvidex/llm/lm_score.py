@@ -1,21 +1,30 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of the target documents and of all documents (the background),
-share one vocabulary and one smoothing. A document's score is the mean over its tokens
-of the difference of their losses, target minus background: low scores are like the
-target.
+share one vocabulary and one smoothing, and are matched in size: background counts
+weigh as many tokens in all as the target has. A document's score is the mean over its
+tokens of the difference of their losses, target minus background: low scores are like
+the target.
 
-Every word and every pair of neighbours is counted, by its bytes: there is no cap and
-no hashing, and the tables grow with the corpus. Documents are coded in blocks of about
-``BLOCK`` bytes of text; a block sends each of its distinct words and pairs once, with
-its own counts, so a hot pair meets as many rows as there are blocks, not documents.
-The sums go back to the blocks, which score their documents.
+Both are probability models. The events after a history are the ``V`` distinct words of
+all documents and the end of the document; with the weighted counts ``c`` and ``N`` events,
 
-``P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)``, ``P(w) = (c(w) + 1) / (N + V)``, V the
-number of distinct words, ``VOCABULARY`` at least.
+    P(w) = (c(w) + 1) / (N + V + 1),  P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)
+
+sum to 1 over the events, as every occurrence of ``u`` is followed by a word or the end.
+The first word of a document is scored by ``P(w)``; the end is not scored.
+
+Every word and every pair of neighbours of every document is counted, known by a 64-bit
+hash: no cap, no sample, and the tables grow with the corpus. Documents are coded in
+blocks of about ``BLOCK`` bytes of text. A block asks for the sums of its distinct words
+and pairs once, sorted by key and cut at the borders of key ranges, as byte planes of the
+key steps and its own counts; a task adds up one range and answers each block in the
+order asked. A hot word or pair is thus one entry a block, however many documents have
+it, and a range is as large as its share of the keys.
 
 Defined cases: null and empty texts have no tokens and score 0; without target
-documents the target model is uniform; repeated rows count and score once each.
+documents both models are uniform and all differences are 0; repeated rows count and
+score once each; null ids are no target.
 """
 
 from __future__ import annotations
@@ -24,58 +33,80 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvidex.llm.ngram_join import mix
 from corvidex.plans.shared import arrow_batches, as_text, join_small, written
 
-#: Least number of words that the smoothing allows for.
-VOCABULARY = 1 << 16
 #: Bytes of text coded together; bounds the memory of a task, not what is counted.
-BLOCK = 12 << 20
+BLOCK = 24 << 20
+#: Bytes of text for each range of keys, and the least number of ranges.
+RANGE, LEAST_RANGES = 16 << 20, 16
 MU = 50.0
-BLANKS = r"[\x20\x09-\x0D]+"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ROWS = 1 << 16
+_M1 = np.uint64(0x9E3779B97F4A7C15)
+DOC, WORDS, ASKED = 0, 1, 2
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The values byte by byte of the same weight: what is 0 throughout compresses to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """Odd keys of words by their hashes."""
+    return mix(h) | np.uint64(1)
+
 
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Even keys of neighbours by their hashes."""
+    return mix(mix(u * _M1 + np.uint64(1)) + w) & ~np.uint64(1)
 
-def vocabulary(docs: DataFrame, *, text: str = "text", room: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words (ASCII lower case), at most ``room`` - 1; ties by the word. For inspection: scoring uses all words."""
-    a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = docs.select(F.explode(F.split(F.translate(as_text(text), a_z, a_z.lower()), BLANKS)).alias("w")).where("w <> ''")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(room - 1)
-    return [w.encode() for w in top.select("w").toArrow().column(0).to_pylist()]
 
+def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The key range of each key; ascending keys have ascending ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
-def cells_of(ids: np.ndarray) -> np.ndarray:
-    """Exact key of each neighbouring pair of a block's word ids."""
-    return ids[:-1].astype(np.int64) << 32 | ids[1:].astype(np.int64)
 
+def inner_of(sizes: np.ndarray) -> np.ndarray:
+    """Which tokens of documents in a row have a history."""
+    inner = np.ones(int(sizes.sum()), dtype=bool)
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    return inner
 
-def pairs_of(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the tokens of all documents in a row: where one has a history, and the keys of those pairs."""
-    inner = np.ones(len(ids), dtype=bool)
-    first = np.cumsum(sizes) - sizes
-    inner[first[sizes > 0]] = False
-    return inner, cells_of(ids)[inner[1:]]
 
+def keyed(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of coded documents in a row: inner, the sorted distinct keys, the place there of each word, the place of each inner token's pair."""
+    inner = inner_of(sizes)
+    h = hashes[ids]
+    pairs, where = np.unique(pair_keys(h[:-1][inner[1:]], h[1:][inner[1:]]), return_inverse=True)
+    words = word_keys(hashes)
+    keys = np.concatenate([words, pairs])
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return inner, keys[order], place[: len(words)], place[len(words) :][where]
 
-def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+
+def coded(docs: DataFrame, ranges: int, *, block: int = BLOCK) -> DataFrame:
     """Written table of blocks of ``docs`` (id, text, target).
 
-    Rows with a key: block, at, word, key, b, t: a distinct word (at: its id in the block) or pair (the words
-    joined by a blank) with the block's counts. Rows without: block, id, ids, a document as int32 word ids.
+    kind DOC: block, id, body: a document as word ids of its block. WORDS: body: the hashes of the block's
+    words by id; b, t: its events in all documents and in target ones. ASKED: part (the key range), body: key
+    steps, counts in all documents, counts in target ones of the block's keys in that range.
     """
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("at", T.IntegerType()), ("word", T.BooleanType()), ("key", T.BinaryType()), ("b", T.LongType()), ("t", T.LongType()), ("id", kind), ("ids", T.BinaryType()))])
-
-    def out(n: int, own: pa.Schema, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, n, _ROWS):
-            m = min(_ROWS, n - lo)
-            yield pa.RecordBatch.from_arrays([columns[f.name].slice(lo, m).cast(f.type) if f.name in columns else pa.nulls(m, f.type) for f in own], schema=own)
+    names = [("block", T.LongType()), ("kind", T.IntegerType()), ("part", T.IntegerType()), ("id", kind), ("body", T.BinaryType()), ("b", T.LongType()), ("t", T.LongType())]
+    schema = T.StructType([T.StructField(*x) for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = None, TaskContext.get().partitionId() << 32
@@ -84,27 +115,35 @@ def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
         wanted: list[bool] = []
         held = 0
 
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["block"] = pa.array(np.full(n, at))
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in own], schema=own)
+
         def closed() -> Iterator[pa.RecordBatch]:
             ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
-            inner, pairs = pairs_of(ids, sizes)
-            target = np.repeat(np.array(wanted), sizes)
-            found, where, n = np.unique(pairs, return_inverse=True, return_counts=True)
-            words = pa.array(list(known), pa.binary())
-            b = np.concatenate([np.bincount(ids, minlength=len(words)), n])
-            t = np.concatenate([np.bincount(ids[target], minlength=len(words)), np.bincount(where[target[inner]], minlength=len(found))])
-            keys = [words, pc.binary_join_element_wise(words.take(pa.array(found >> 32)), words.take(pa.array(found & 0xFFFFFFFF)), pa.scalar(b" ", pa.binary()))]
-            k = np.arange(len(b))
-            yield from out(len(b), own, block=pa.array(np.full(len(b), at)), at=pa.array(k), word=pa.array(k < len(words)), key=pa.concat_arrays(keys), b=pa.array(b), t=pa.array(t))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            inner, keys, word, pair = keyed(ids, sizes, hashes)
+            target, filled = np.repeat(np.array(wanted), sizes), sizes > 0
+            events = len(ids) + filled.sum(), target.sum() + (filled & np.array(wanted)).sum()
+            yield rows(1, kind=pa.array([WORDS]), body=pa.array([hashes.tobytes()], pa.binary()), b=pa.array([int(events[0])]), t=pa.array([int(events[1])]))
+            b = np.bincount(word[ids], minlength=len(keys)) + np.bincount(pair, minlength=len(keys))
+            t = np.bincount(word[ids[target]], minlength=len(keys)) + np.bincount(pair[target[inner]], minlength=len(keys))
+            edges = np.searchsorted(ranges_of(keys, ranges), np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(edges))
+            for lo in range(0, len(full), 1024):
+                some = full[lo : lo + 1024]
+                bodies = [planes(np.diff(keys[i:j], prepend=np.uint64(0))) + planes(b[i:j].astype(np.uint32)) + planes(t[i:j].astype(np.uint32)) for i, j in zip(edges[some], edges[some + 1], strict=True)]
+                yield rows(len(some), kind=pa.array(np.full(len(some), ASKED)), part=pa.array(some), body=pa.array(bodies, pa.binary()))
 
         for batch in batches:
             if own is None:
-                types = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), batch.column(0).type, pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.int32(), batch.column(0).type, pa.binary(), pa.int64(), pa.int64()]
                 own = pa.schema([pa.field(n, t) for n, t in zip(schema.names, types, strict=True)])
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             new = [np.array([known.setdefault(w, len(known)) for w in t.translate(_LOWER).split()], dtype=np.int32) for t in texts]
             parts += new
             wanted += [bool(x) for x in batch.column(2).to_pylist()]
-            yield from out(len(new), own, block=pa.array(np.full(len(new), at)), id=batch.column(0), ids=pa.array([x.tobytes() for x in new], pa.binary()))
+            yield rows(len(new), kind=pa.array(np.full(len(new), DOC)), id=batch.column(0), body=pa.array(list(map(planes, new)), pa.binary()))
             held += sum(map(len, texts))
             if held >= block:
                 yield from closed()
@@ -116,53 +155,76 @@ def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     return written(docs.select("id", as_text("text").alias("text"), "target").mapInArrow(run, schema), "coded")
 
 
-def counted(blocks: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
-    """Written table of block, at, b, t: the counts of each block's words and pairs in all documents; tokens of background and target, distinct words."""
-    keys = blocks.where("key is not null").select("block", "at", "word", "key", "b", "t").repartition("key").withColumn("h", F.xxhash64("key"))
-    whole = Window.partitionBy("h", "key")  # the hash only makes the sort cheap
-    sums = written(
-        keys.select("block", "at", "word", F.sum("b").over(whole).alias("b"), F.sum("t").over(whole).alias("t"), (F.col("block") == F.min("block").over(whole)).alias("first")), "counted"
-    )
-    n = sums.where("word and first").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count(F.lit(1))).first()
-    return sums.select("block", "at", "b", "t"), (n[0], n[1], n[2])
+def asked_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and the two counts of one body of kind ASKED."""
+    n = len(body) // 16
+    return np.cumsum(from_planes(body[: 8 * n], np.uint64), dtype=np.uint64), from_planes(body[8 * n : 12 * n], np.uint32), from_planes(body[12 * n :], np.uint32)
+
+
+def answered(blocks: DataFrame) -> DataFrame:
+    """Written table of block, part, body (sums in all documents and in target ones, in the order asked) and, in rows without a block, words: the distinct words of the range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [asked_of(x) for x in table["body"].to_pylist()]
+        keys, where = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        sums = [np.bincount(where, weights=np.concatenate([x[k] for x in asked]), minlength=len(keys)).astype(np.int64)[where] for k in (1, 2)]
+        ends = np.cumsum([len(x[0]) for x in asked])
+        bodies = [planes(sums[0][j - len(x[0]) : j]) + planes(sums[1][j - len(x[0]) : j]) for x, j in zip(asked, ends, strict=True)]
+        words = int((keys & np.uint64(1)).sum())
+        return pa.table([pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(1, pa.int64())]), pa.array([table["part"][0].as_py()] * (len(asked) + 1), pa.int32()), pa.array([*bodies, None], pa.binary()), pa.array([None] * len(asked) + [words], pa.int64())], names=["block", "part", "body", "words"])
+
+    rows = blocks.where(F.col("kind") == ASKED).select("block", "part", "body")
+    return written(rows.groupBy("part").applyInArrow(run, "block long, part int, body binary, words long"), "answered")
+
+
+def unconditional(word: np.ndarray, share: float, events: float, room: int) -> np.ndarray:
+    """P(w) by the counts of words; a count weighs ``share``; ``room``: V + 1."""
+    return (share * word + 1.0) / (share * events + room)
 
 
-def losses(ids: np.ndarray, inner: np.ndarray, where: np.ndarray, table: np.ndarray, total: int, room: int) -> np.ndarray:
-    """Loss of each token in nats; the first of a document has no history. ``table``: counts of the words, then of the pairs; ``where``: place of each pair."""
-    p = (table[ids] + 1.0) / (total + room)
-    p[inner] = (table[where] + MU * p[inner]) / (table[ids[np.flatnonzero(inner) - 1]] + MU)
-    return -np.log(p)
+def conditional(pair: np.ndarray, history: np.ndarray, p: np.ndarray, share: float) -> np.ndarray:
+    """P(w | u) by the counts of pairs and of their histories; ``p``: P(w)."""
+    return (share * pair + MU * p) / (share * history + MU)
 
 
-def score(blocks: DataFrame, sums: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
+def score(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """id, n_tokens, target_loss, background_loss, difference of every document of :func:`coded`."""
-    n_b, n_t, words = totals
-    room = max(words, VOCABULARY)
+    events = blocks.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    n_b, n_t = events["b"], events["t"]
+    room = answers.where("block is null").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"] + 1
+    models = ((n_b, n_t / n_b if n_b else 0.0), (n_t, 1.0))
     fields = [("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, dtype=np.int32) for x in docs["ids"].to_pylist()]
-        sizes = np.array([len(x) for x in parts])
+        kind = docs["kind"].to_numpy()
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x, k in zip(docs["body"].to_pylist(), kind, strict=True) if k == WORDS] or [np.empty(0, np.uint64)])
+        docs = docs.filter(pa.array(kind == DOC))
+        parts = [from_planes(x, np.int32) for x in docs["body"].to_pylist()]
+        sizes = np.array([len(x) for x in parts], np.int64)
         loss = np.zeros((2, len(parts)))
         if sizes.sum():
             ids = np.concatenate(parts)
-            inner, pairs = pairs_of(ids, sizes)
-            where = np.unique(pairs, return_inverse=True)[1] + ids.max() + 1
+            inner, _, word, pair = keyed(ids, sizes, hashes)
+            bodies = [x for _, x in sorted(zip(known["part"].to_pylist(), known["body"].to_pylist(), strict=True))]
             of = np.repeat(np.arange(len(parts)), sizes)
-            for k, (name, total) in enumerate((("b", n_b), ("t", n_t))):
-                table = np.zeros(known.num_rows)
-                table[known["at"].to_numpy()] = known[name].to_numpy()
-                loss[k] = np.bincount(of, losses(ids, inner, where, table, total, room), len(parts)) / np.maximum(sizes, 1)
+            before = np.flatnonzero(inner) - 1
+            for k, (total, share) in enumerate(models):
+                sums = np.concatenate([from_planes(x[len(x) // 2 * k : len(x) // 2 * (k + 1)], np.int64) for x in bodies])
+                c = sums[word[ids]]
+                p = unconditional(c, share, total, room)
+                p[inner] = conditional(sums[pair], c[before], p[inner], share)
+                loss[k] = np.bincount(of, -np.log(p), len(parts)) / np.maximum(sizes, 1)
         return pa.table([docs["id"], pa.array(sizes), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])], names=["id", *(f[0] for f in fields)])
 
-    docs = blocks.where("key is null").select("block", "id", "ids")
+    docs = blocks.where(F.col("kind") != ASKED).select("block", "kind", "id", "body")
     schema = T.StructType([T.StructField("id", blocks.schema["id"].dataType), *(T.StructField(*f) for f in fields)])
-    return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+    return docs.groupBy("block").cogroup(answers.where("block is not null").select("block", "part", "body").groupBy("block")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference; ``target_ids``: one column of the ids of target documents."""
-    wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("id")).distinct().withColumn("target", F.lit(True)), "target")
+    wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True)), "target")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    blocks = coded(join_small(rows, wanted, ["id"], "left"), block=block)
-    return score(blocks, *counted(blocks)).withColumnRenamed("id", "doc_id")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = coded(join_small(rows, wanted, ["id"], "left"), max(LEAST_RANGES, -(-size // RANGE)), block=block)
+    return score(blocks, answered(blocks)).withColumnRenamed("id", "doc_id")
