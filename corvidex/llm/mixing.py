@@ -12,8 +12,8 @@ is sorted. A hot source thus costs its partial sums plus 1/BINS of its rows.
 
 Defined cases: null or empty texts have size 0 and take 0; a source of size 0 has
 target 0; null is a source of its own, last in order; ties in the key go by
-document id, then text hash, and rows alike in both share a place; clashing column names of
-the input don't matter, as only three columns are read.
+document id, then text hash, and rows alike in both share a place; no column name of the
+input clashes.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvidex.llm.names import quoted, unused
 from corvidex.plans.shared import as_text, dropped, join_small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Digits, marks and symbols of ASCII.
+ODD = r"[\x21-\x40\x5B-\x60\x7B-\x7E]"
 #: Source weights in code point order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -37,9 +40,9 @@ def words_in(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """0.5 to 1.5: a half plus the share of a-z among the bytes of the text. Debris and tables score low."""
-    letters = F.octet_length(F.regexp_replace(text, "[^a-z]", ""))
-    return F.when(F.octet_length(text) == 0, 0.5).otherwise(0.5 + letters / F.octet_length(text))
+    """0.5 to 1.5: a half plus the share of characters that aren't digits, marks or symbols of ASCII, in any script alike. Debris and tables score low."""
+    odd = F.regexp_count(text, F.lit(ODD))
+    return F.when(F.length(text) == 0, 0.5).otherwise(1.5 - odd / F.length(text))
 
 
 def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -101,10 +104,10 @@ def ranks(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, src, size, source_size, target, epochs, taken: one row a document."""
-    body = as_text(text)
-    u, w = uniform(F.col(doc_id), body, seed), quality_weight(body)
+    body = as_text(F.col(quoted(text)))
+    u, w = uniform(F.col(quoted(doc_id)), body, seed), quality_weight(body)
     keyed = written(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), words_in(body).alias("size"), F.pow(u, 1 / w).alias("key"), F.xxhash64(body).alias("tie")).withColumn(
+        docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("src"), words_in(body).alias("size"), F.pow(u, 1 / w).alias("key"), F.xxhash64(body).alias("tie")).withColumn(
             "bin", F.least(F.floor((1 - F.col("key")) * BINS), F.lit(BINS - 1)).cast("int")
         ),
         "keyed",
@@ -149,19 +152,21 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     (one document a source at most). Rows of size 0 are not taken.
     """
     taken = mix(docs, doc_id=doc_id, text=text, source=source).where("taken > 0")
+    own, size, words, rows_, part_ = unused(docs, "key", "size", "words", "rows", "part")
     take = written(
-        taken.groupBy(F.struct("doc_id", "src", "tie").alias("_k")).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows")), "taken"
+        taken.groupBy(F.struct("doc_id", "src", "tie").alias(own)).agg(F.max("size").alias(size), F.sum("taken").alias(words), F.count(F.lit(1)).alias(rows_)), "taken"
     )
-    key = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), F.xxhash64(as_text(text)).alias("tie"))
-    rows = join_small(docs.withColumn("_k", key), take, ["_k"], "inner")
-    if not take.where("_rows > 1").isEmpty():  # repeated rows: one of them stands for all copies
-        rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_k"]))
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    whole = F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    body = F.col(quoted(text))
+    key = F.struct(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("src"), F.xxhash64(as_text(body)).alias("tie"))
+    rows = join_small(docs.withColumn(own, key), take, [own], "inner")
+    if not take.where(F.col(rows_) > 1).isEmpty():  # repeated rows: one of them stands for all copies
+        rows = rows.where(F.col(rows_) == 1).unionByName(rows.where(F.col(rows_) > 1).dropDuplicates([own]))
+    part = (F.col(words) % F.col(size)).cast("int")
+    whole = F.array_repeat(F.lit(0), F.floor(F.col(words) / F.col(size)).cast("int"))
     copies = F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    lead = F.concat(F.regexp_extract(F.col(text), r"^[\x20\x09-\x0D]*", 0), F.array_join(F.slice(pieces, F.lit(1), F.col("_part")), ""))
-    out = rows.withColumn("_part", F.explode(copies)).withColumn(text, F.when(F.col("_part") > 0, lead).otherwise(F.col(text)))
+    pieces = F.regexp_extract_all(body, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    lead = F.concat(F.regexp_extract(body, r"^[\x20\x09-\x0D]*", 0), F.array_join(F.slice(pieces, F.lit(1), F.col(part_)), ""))
+    out = rows.withColumn(part_, F.explode(copies)).withColumn(text, F.when(F.col(part_) > 0, lead).otherwise(body))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_part") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.withColumn(n_chars, F.when(F.col(part_) > 0, F.length(body).cast("long")).otherwise(F.col(quoted(n_chars))))
+    return out.select(*(F.col(quoted(c)) for c in docs.columns))

@@ -26,7 +26,8 @@ Shingles and sets are known by 64-bit hashes.
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; texts of fewer words than a shingle are one
 shingle; repeated rows give a row each; a null id is never the smallest of its
-component but gets its component.
+component but gets its component; only the named columns are read, and no column name
+of the input clashes with one of ours.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvidex.llm.names import quoted, unused
 from corvidex.operators.graph import connected_components
 from corvidex.plans.shared import BROADCAST_ROWS, arrow_batches, as_text, dropped, join_small, written
 
@@ -296,7 +298,7 @@ def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
 def placed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, digest, c, component_id: one row a document; c names the component by a digest (null without shingles)."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), as_text(text).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), as_text(F.col(quoted(text))).alias("text"))
     sets = written(sets_of(rows, join), "sets")
     nodes = written(
         sets.where("n_shingles > 0").groupBy("digest").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("rep"), *(F.max(f"sk{j}").alias(f"sk{j}") for j in range(SKETCH))), "nodes"
@@ -329,16 +331,18 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Rows without shingles are in no component: they stay, but for rows that repeat an id and its text.
     """
     found = placed(docs, doc_id=doc_id, text=text, join=join)
+    own = F.col(quoted(doc_id))
+    lost, twice = unused(docs, "lost", "twice")
     # an id of one row tells which row to drop; rows with a repeated or null id are told apart by their set
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(lost)).distinct(), "gone")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(twice)), "again")
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.where(F.col(doc_id).isNotNull()).join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    kept = docs.where(own.isNotNull()).join(F.broadcast(gone) if few else gone, own == F.col(lost), "left_anti")
     repeated, nameless = not again.isEmpty(), not found.where("doc_id is null").isEmpty()
-    unclear = docs.where(F.col(doc_id).isNull())
+    unclear = docs.where(own.isNull())
     if repeated:
-        kept = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
-        unclear = unclear.unionByName(docs.join(again, F.col(doc_id) == F.col("_again"), "left_semi"))
+        kept = kept.join(again, own == F.col(twice), "left_anti")
+        unclear = unclear.unionByName(docs.join(again, own == F.col(twice), "left_semi"))
     if repeated or nameless:
         kept = kept.unionByName(_kept_rows(unclear, found, doc_id, text, join))
     return kept
@@ -346,13 +350,14 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def _kept_rows(rows: DataFrame, found: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
     """Of ``rows``, which repeat ids or have none, one for each component that is theirs by :func:`placed`, and those without shingles."""
+    keeper, kept_set, body, size, mark = unused(rows, "keeper", "set", "text", "n", "digest")
     least = found.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
-    keepers = written(least.select(F.col("k.doc_id").alias("_keeper"), F.col("k.digest").alias("_set")), "keepers")
-    texts = rows.select(as_text(text).alias("text")).distinct()
-    sets = written(sets_of(texts.select(F.col("text").alias("doc_id"), "text"), join).select(F.col("doc_id").alias("_text"), F.col("n_shingles").alias("_n"), F.col("digest").alias("_digest")), "texts")
-    told = rows.join(sets, as_text(text) == F.col("_text"))
-    own = F.col(doc_id)
-    one = told.where("_n > 0").join(keepers, (F.col("_digest") == F.col("_set")) & own.eqNullSafe(F.col("_keeper")), "left_semi").dropDuplicates([doc_id, "_digest"])
-    bare = told.where("_n = 0")
-    bare = bare.where(own.isNull()).unionByName(bare.where(own.isNotNull()).dropDuplicates([doc_id, "_text"]))
-    return one.unionByName(bare).select(*(F.col(f"`{c}`") for c in rows.columns))
+    keepers = written(least.select(F.col("k.doc_id").alias(keeper), F.col("k.digest").alias(kept_set)), "keepers")
+    own, text_ = F.col(quoted(doc_id)), as_text(F.col(quoted(text)))
+    texts = rows.select(text_.alias("text")).distinct()
+    sets = written(sets_of(texts.select(F.col("text").alias("doc_id"), "text"), join).select(F.col("doc_id").alias(body), F.col("n_shingles").alias(size), F.col("digest").alias(mark)), "texts")
+    told = rows.join(sets, text_ == F.col(body))
+    one = told.where(F.col(size) > 0).join(keepers, (F.col(mark) == F.col(kept_set)) & own.eqNullSafe(F.col(keeper)), "left_semi").dropDuplicates([doc_id, mark])
+    bare = told.where(F.col(size) == 0)
+    bare = bare.where(own.isNull()).unionByName(bare.where(own.isNotNull()).dropDuplicates([doc_id, body]))
+    return one.unionByName(bare).select(*(F.col(quoted(c)) for c in rows.columns))

@@ -6,6 +6,7 @@ model), tokenising (op4, op8: exact round trips), 64-bit string hashes of finger
 """
 
 WORD = r"[^\x20\x09-\x0D]+"
+ODD = r"[\x21-\x40\x5B-\x60\x7B-\x7E]"
 
 HOST_RULES = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -44,7 +45,7 @@ WITH d AS (SELECT doc_id, source AS src, coalesce(text, '') AS t FROM documents)
 k AS (
   SELECT doc_id, src, len(regexp_extract_all(t, '{WORD}'))::BIGINT AS size,
     pow((('0x' || md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, ''), md5(t)))[1:13])::BIGINT + 0.5) / 4503599627370496.0,
-      1 / (CASE WHEN strlen(t) = 0 THEN 0.5 ELSE 0.5 + strlen(regexp_replace(t, '[^a-z]', '', 'g')) / strlen(t) END)) AS key
+      1 / (CASE WHEN length(t) = 0 THEN 0.5 ELSE 1.5 - (length(t) - length(regexp_replace(t, '{ODD}', '', 'g'))) / length(t) END)) AS key
   FROM d),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM k GROUP BY src),
 w AS (SELECT src, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),

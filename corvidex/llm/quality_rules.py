@@ -11,7 +11,7 @@ lost executor only repeats its own splits.
 
 Defined cases: a null text has no words and fails; an empty table gives an empty
 result; a null host is a host of its own; repeated rows count once each; columns
-of the input with clashing names are replaced by ours.
+of the input named like a result are replaced by it, and no other name clashes.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from corvidex.llm.names import quoted, unused
 from corvidex.plans.shared import arrow_batches, as_text, dropped, join_small, written
 
 WINDOW = 8
@@ -43,7 +44,6 @@ class Rules:
     min_words: int = 20
     max_repeat_pct: int = 30
     max_symbol_pct: int = 10
-    max_dup_line_words_pct: int = 30
     #: A host goes when its shrunk failure rate exceeds this.
     max_host_rate: float = 0.5
     #: Prior strength (pseudo-documents) when hosts don't differ measurably, and its bounds.
@@ -122,7 +122,7 @@ def host_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     """host, n_docs, n_failed, rate (shrunk), host_rejected; one row a host, written to the shared folder."""
     f = F.col("f")
     hosts = written(
-        docs.select(F.col(host).alias("host"), rule_figures(as_text(text)).alias("f"))
+        docs.select(F.col(quoted(host)).alias("host"), rule_figures(as_text(F.col(quoted(text)))).alias("f"))
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.count_if(base_failed(f, rules) | junk(f, rules)), F.lit(0)).alias("n_failed")),
         "hosts",
@@ -141,34 +141,36 @@ def host_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     return out
 
 
-def _judged(docs: DataFrame, text: str, host: str, rules: Rules) -> DataFrame:
-    """docs, _f (figures), _rate, _ok (the verdict): no shuffle of the documents."""
+def _judged(docs: DataFrame, text: str, host: str, rules: Rules) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with columns of our own, and those: the figures, the host's rate, the verdict. No shuffle of the documents."""
     arrow_batches(docs.sparkSession)
-    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias("_host"), F.col("host_rate").alias("_rate"), "host_rejected")
+    name, figures, rate, rejected = unused(docs, "host", "figures", "rate", "rejected")
+    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias(name), F.col("host_rate").alias(rate), F.col("host_rejected").alias(rejected))
     # a struct key makes null hosts equal in an ordinary equi-join
-    rows = docs.withColumn("_host", F.struct(F.col(host).alias("h"))).withColumn("_f", rule_figures(as_text(text)))
-    f = F.col("_f")
-    joined = join_small(rows, verdicts, ["_host"], "left")
-    return joined.withColumn("_ok", ~base_failed(f, rules) & ~junk(f, rules) & ~F.coalesce("host_rejected", F.lit(False)))
+    rows = docs.withColumn(name, F.struct(F.col(quoted(host)).alias("h"))).withColumn(figures, rule_figures(as_text(F.col(quoted(text)))))
+    f = F.col(figures)
+    ok = ~base_failed(f, rules) & ~junk(f, rules) & ~F.coalesce(F.col(rejected), F.lit(False))
+    return join_small(rows, verdicts, [name], "left"), f, F.col(rate), ok
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    return _judged(docs, text, host, rules).where("_ok").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, _, _, ok = _judged(docs, text, host, rules)
+    return rows.where(ok).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the five figures, base_failed, host_rate and kept.
+    """``docs`` with the five figures, base_failed, host_rate and kept; columns of these names in the input give way to them.
 
     kept is false if a base rule fails, the text is symbol debris, or the host's
     shrunk failure rate is above the limit.
     """
     ours = [*FIGURES, "base_failed", "kept", "host_rate"]
-    f = F.col("_f")
-    return _judged(docs, text, host, rules).select(
-        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ours),
+    rows, f, rate, ok = _judged(docs, text, host, rules)
+    return rows.select(
+        *(F.col(quoted(c)) for c in docs.columns if c.lower() not in ours),
         *(f[c].alias(c) for c in FIGURES),
         base_failed(f, rules).alias("base_failed"),
-        F.col("_ok").alias("kept"),
-        F.col("_rate").alias("host_rate"),
+        ok.alias("kept"),
+        rate.alias("host_rate"),
     )
