@@ -16,11 +16,11 @@ The first word of a document is scored by ``P(w)``; the end is not scored.
 
 Every word and every pair of neighbours of every document is counted, known by a 64-bit
 hash: no cap, no sample, and the tables grow with the corpus. Documents are coded in
-blocks of about ``BLOCK`` bytes of text. A block asks for the sums of its distinct words
-and pairs once, sorted by key and cut at the borders of key ranges, as byte planes of the
-key steps and its own counts; a task adds up one range and answers each block in the
-order asked. A hot word or pair is thus one entry a block, however many documents have
-it, and a range is as large as its share of the keys.
+blocks of about ``BLOCK`` bytes of text, a row each. A block asks for the sums of its
+distinct words and pairs once, sorted by key and cut at the borders of key ranges, as byte
+planes of the key steps and its own counts; a task adds up one range and answers each
+block in the order asked. A hot word or pair is thus one entry a block, however many
+documents have it, and a range is as large as its share of the keys.
 
 Defined cases: null and empty texts have no tokens and score 0; without target
 documents both models are uniform and all differences are 0; repeated rows count and
@@ -43,14 +43,12 @@ from corvidex.llm.ngram_join import mix
 from corvidex.plans.shared import arrow_batches, as_text, join_small, written
 
 #: Bytes of text coded together; bounds the memory of a task, not what is counted.
-BLOCK = 24 << 20
+BLOCK = 10 << 20
 #: Bytes of text for each range of keys, and the least number of ranges.
 RANGE, LEAST_RANGES = 16 << 20, 16
 MU = 50.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1 = np.uint64(0x9E3779B97F4A7C15)
-DOC, WORDS, ASKED = 0, 1, 2
-
 
 def planes(x: np.ndarray) -> bytes:
     """The values byte by byte of the same weight: what is 0 throughout compresses to nothing."""
@@ -97,71 +95,83 @@ def keyed(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     return inner, keys[order], place[: len(words)], place[len(words) :][where]
 
 
-def coded(docs: DataFrame, ranges: int, *, block: int = BLOCK) -> DataFrame:
+def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Written table of blocks of ``docs`` (id, text, target).
 
-    kind DOC: block, id, body: a document as word ids of its block. WORDS: body: the hashes of the block's
-    words by id; b, t: its events in all documents and in target ones. ASKED: part (the key range), body: key
-    steps, counts in all documents, counts in target ones of the block's keys in that range.
+    block; ids, sizes and wanted: of its documents the ids, numbers of words and whether they are targets; body:
+    their words as numbers; hashes: of its words by number; b, t: its events in all documents and in target ones.
     """
     kind = docs.schema["id"].dataType
-    names = [("block", T.LongType()), ("kind", T.IntegerType()), ("part", T.IntegerType()), ("id", kind), ("body", T.BinaryType()), ("b", T.LongType()), ("t", T.LongType())]
+    names = [("block", T.LongType()), ("ids", T.ArrayType(kind)), ("sizes", T.BinaryType()), ("wanted", T.BinaryType()), ("body", T.BinaryType()), ("hashes", T.BinaryType()), ("b", T.LongType()), ("t", T.LongType())]
     schema = T.StructType([T.StructField(*x) for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = None, TaskContext.get().partitionId() << 32
+        at = TaskContext.get().partitionId() << 32
         known: dict[bytes, int] = {}
         parts: list[np.ndarray] = []
         wanted: list[bool] = []
+        ids: list[pa.Array] = []
         held = 0
 
-        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            columns["block"] = pa.array(np.full(n, at))
-            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in own], schema=own)
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        def closed() -> pa.RecordBatch:
+            own, sizes, target = pa.concat_arrays(ids), np.array([len(x) for x in parts], np.int32), np.array(wanted)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            inner, keys, word, pair = keyed(ids, sizes, hashes)
-            target, filled = np.repeat(np.array(wanted), sizes), sizes > 0
-            events = len(ids) + filled.sum(), target.sum() + (filled & np.array(wanted)).sum()
-            yield rows(1, kind=pa.array([WORDS]), body=pa.array([hashes.tobytes()], pa.binary()), b=pa.array([int(events[0])]), t=pa.array([int(events[1])]))
-            b = np.bincount(word[ids], minlength=len(keys)) + np.bincount(pair, minlength=len(keys))
-            t = np.bincount(word[ids[target]], minlength=len(keys)) + np.bincount(pair[target[inner]], minlength=len(keys))
-            edges = np.searchsorted(ranges_of(keys, ranges), np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(edges))
-            for lo in range(0, len(full), 1024):
-                some = full[lo : lo + 1024]
-                bodies = [planes(np.diff(keys[i:j], prepend=np.uint64(0))) + planes(b[i:j].astype(np.uint32)) + planes(t[i:j].astype(np.uint32)) for i, j in zip(edges[some], edges[some + 1], strict=True)]
-                yield rows(len(some), kind=pa.array(np.full(len(some), ASKED)), part=pa.array(some), body=pa.array(bodies, pa.binary()))
+            events = sizes + (sizes > 0)
+            body = pa.compress(planes(np.concatenate(parts)), codec="zstd", asbytes=True)
+            columns = [pa.array([at]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+            columns += [pa.array([x], pa.binary()) for x in (sizes.tobytes(), target.tobytes(), body, hashes.tobytes())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([int(events.sum())]), pa.array([int(events[target].sum())])], schema.names)
 
         for batch in batches:
-            if own is None:
-                types = [pa.int64(), pa.int32(), pa.int32(), batch.column(0).type, pa.binary(), pa.int64(), pa.int64()]
-                own = pa.schema([pa.field(n, t) for n, t in zip(schema.names, types, strict=True)])
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            new = [np.array([known.setdefault(w, len(known)) for w in t.translate(_LOWER).split()], dtype=np.int32) for t in texts]
-            parts += new
+            parts += [np.array([known.setdefault(w, len(known)) for w in t.translate(_LOWER).split()], dtype=np.int32) for t in texts]
             wanted += [bool(x) for x in batch.column(2).to_pylist()]
-            yield rows(len(new), kind=pa.array(np.full(len(new), DOC)), id=batch.column(0), body=pa.array(list(map(planes, new)), pa.binary()))
+            ids.append(batch.column(0))
             held += sum(map(len, texts))
             if held >= block:
-                yield from closed()
-                known, parts, wanted, held, at = {}, [], [], 0, at + 1
+                yield closed()
+                known, parts, wanted, ids, held, at = {}, [], [], [], 0, at + 1
         if parts:
-            yield from closed()
+            yield closed()
 
     arrow_batches(docs.sparkSession)
-    return written(docs.select("id", as_text("text").alias("text"), "target").mapInArrow(run, schema), "coded")
+    return written(docs.select("id", as_text("text").alias("text"), "target").mapInArrow(run, schema), "blocks")
+
+
+def block_of(sizes: bytes, body: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all documents of a block in a row, sizes, hashes."""
+    n = np.frombuffer(sizes, np.int32).astype(np.int64)
+    return from_planes(pa.decompress(body, decompressed_size=4 * int(n.sum()), codec="zstd", asbytes=True), np.int32), n, np.frombuffer(hashes, np.uint64)
+
+
+def asked(blocks: DataFrame, ranges: int) -> DataFrame:
+    """block, part (the key range), body: key steps, counts in all documents, counts in target ones of the block's keys in that range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, sizes, hashes = block_of(row["sizes"], row["body"], row["hashes"])
+                inner, keys, word, pair = keyed(ids, sizes, hashes)
+                target = np.repeat(np.frombuffer(row["wanted"], bool), sizes)
+                counts = [np.bincount(word[ids], minlength=len(keys)) + np.bincount(pair, minlength=len(keys))]
+                counts.append(np.bincount(word[ids[target]], minlength=len(keys)) + np.bincount(pair[target[inner]], minlength=len(keys)))
+                edges = np.searchsorted(ranges_of(keys, ranges), np.arange(ranges + 1))
+                full = np.flatnonzero(np.diff(edges))
+                for lo in range(0, len(full), 1024):
+                    some = full[lo : lo + 1024]
+                    bodies = [planes(np.diff(keys[i:j], prepend=np.uint64(0))) + b"".join(planes(c[i:j].astype(np.uint32)) for c in counts) for i, j in zip(edges[some], edges[some + 1], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row["block"])), pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], ["block", "part", "body"])
+
+    return blocks.select("block", "sizes", "wanted", "body", "hashes").mapInArrow(run, "block long, part int, body binary")
 
 
 def asked_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and the two counts of one body of kind ASKED."""
+    """Keys and the two counts of one body of :func:`asked`."""
     n = len(body) // 16
     return np.cumsum(from_planes(body[: 8 * n], np.uint64), dtype=np.uint64), from_planes(body[8 * n : 12 * n], np.uint32), from_planes(body[12 * n :], np.uint32)
 
 
-def answered(blocks: DataFrame) -> DataFrame:
+def answered(requests: DataFrame) -> DataFrame:
     """Written table of block, part, body (sums in all documents and in target ones, in the order asked) and, in rows without a block, words: the distinct words of the range."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -173,8 +183,7 @@ def answered(blocks: DataFrame) -> DataFrame:
         words = int((keys & np.uint64(1)).sum())
         return pa.table([pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(1, pa.int64())]), pa.array([table["part"][0].as_py()] * (len(asked) + 1), pa.int32()), pa.array([*bodies, None], pa.binary()), pa.array([None] * len(asked) + [words], pa.int64())], names=["block", "part", "body", "words"])
 
-    rows = blocks.where(F.col("kind") == ASKED).select("block", "part", "body")
-    return written(rows.groupBy("part").applyInArrow(run, "block long, part int, body binary, words long"), "answered")
+    return written(requests.groupBy("part").applyInArrow(run, "block long, part int, body binary, words long"), "answered")
 
 
 def unconditional(word: np.ndarray, share: float, events: float, room: int) -> np.ndarray:
@@ -189,35 +198,30 @@ def conditional(pair: np.ndarray, history: np.ndarray, p: np.ndarray, share: flo
 
 def score(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """id, n_tokens, target_loss, background_loss, difference of every document of :func:`coded`."""
-    events = blocks.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    events = blocks.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     n_b, n_t = events["b"], events["t"]
     room = answers.where("block is null").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"] + 1
     models = ((n_b, n_t / n_b if n_b else 0.0), (n_t, 1.0))
     fields = [("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
 
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        kind = docs["kind"].to_numpy()
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x, k in zip(docs["body"].to_pylist(), kind, strict=True) if k == WORDS] or [np.empty(0, np.uint64)])
-        docs = docs.filter(pa.array(kind == DOC))
-        parts = [from_planes(x, np.int32) for x in docs["body"].to_pylist()]
-        sizes = np.array([len(x) for x in parts], np.int64)
-        loss = np.zeros((2, len(parts)))
-        if sizes.sum():
-            ids = np.concatenate(parts)
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        ids, sizes, hashes = block_of(*(rows[c][0].as_py() for c in ("sizes", "body", "hashes")))
+        loss = np.zeros((2, len(sizes)))
+        if len(ids):
             inner, _, word, pair = keyed(ids, sizes, hashes)
             bodies = [x for _, x in sorted(zip(known["part"].to_pylist(), known["body"].to_pylist(), strict=True))]
-            of = np.repeat(np.arange(len(parts)), sizes)
+            of = np.repeat(np.arange(len(sizes)), sizes)
             before = np.flatnonzero(inner) - 1
             for k, (total, share) in enumerate(models):
                 sums = np.concatenate([from_planes(x[len(x) // 2 * k : len(x) // 2 * (k + 1)], np.int64) for x in bodies])
                 c = sums[word[ids]]
                 p = unconditional(c, share, total, room)
                 p[inner] = conditional(sums[pair], c[before], p[inner], share)
-                loss[k] = np.bincount(of, -np.log(p), len(parts)) / np.maximum(sizes, 1)
-        return pa.table([docs["id"], pa.array(sizes), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])], names=["id", *(f[0] for f in fields)])
+                loss[k] = np.bincount(of, -np.log(p), len(sizes)) / np.maximum(sizes, 1)
+        return pa.table([pa.concat_arrays(rows["ids"].chunks).flatten(), pa.array(sizes), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])], names=["id", *(f[0] for f in fields)])
 
-    docs = blocks.where(F.col("kind") != ASKED).select("block", "kind", "id", "body")
-    schema = T.StructType([T.StructField("id", blocks.schema["id"].dataType), *(T.StructField(*f) for f in fields)])
+    schema = T.StructType([T.StructField("id", blocks.schema["ids"].dataType.elementType), *(T.StructField(*f) for f in fields)])
+    docs = blocks.select("block", "ids", "sizes", "body", "hashes")
     return docs.groupBy("block").cogroup(answers.where("block is not null").select("block", "part", "body").groupBy("block")).applyInArrow(run, schema)
 
 
@@ -226,5 +230,5 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id:
     wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True)), "target")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = coded(join_small(rows, wanted, ["id"], "left"), max(LEAST_RANGES, -(-size // RANGE)), block=block)
-    return score(blocks, answered(blocks)).withColumnRenamed("id", "doc_id")
+    blocks = coded(join_small(rows, wanted, ["id"], "left"), block=block)
+    return score(blocks, answered(asked(blocks, max(LEAST_RANGES, -(-size // RANGE))))).withColumnRenamed("id", "doc_id")
