@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvidex.functions.clean import clean_text
 from corvidex.functions.terms import CAPITALS, OPERATIONS
+from corvidex.plans.shared import checked, written
 
 # Words that carry no content, never kept by the tokenizers below.
 STOP_WORDS = (
@@ -39,6 +40,14 @@ def valid_token(t: Column, min_length: int = 2, max_length: int = 50) -> Column:
     return F.length(t).between(min_length, max_length) & ~t.rlike("^[0-9]+$") & t.rlike("(?i)[a-z0-9]") & ~t.isin(*LINK_WORDS)
 
 
+def valid_token_by_characters(t: Column, min_length: int = 2, max_length: int = 50) -> Column:
+    """The same rule for tokens that no pattern may see: letters and digits are told by what is left when they are taken out."""
+    digits = "0123456789"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    without_digits, plain = F.length(F.translate(t, digits, "")), F.length(F.translate(t, letters + digits, ""))
+    return F.length(t).between(min_length, max_length) & ~t.isin(*LINK_WORDS) & (without_digits > 0) & (plain < F.length(t))
+
+
 def preserve_terms(tokens: Column, terms: list[str], verbatim: list[str] = ()) -> Column:
     """Domain terms in upper case (``verbatim`` ones as they are). Long term lists: join with a table instead."""
     if not terms:
@@ -83,9 +92,13 @@ def preprocessed(text: Column, terms: list[str] = CAPITALS, min_length: int = 2,
 
 _VOWELS = "aeiou"
 # Suffix replacements of steps 2, 3 and 4 of the published algorithm.
-_STEP2 = "ational ate|tional tion|enci ence|anci ance|izer ize|abli able|alli al|entli ent|eli e|ousli ous|ization ize|ation ate|ator ate|alism al|iveness ive|fulness ful|ousness ous|aliti al|iviti ive|biliti ble"
-_STEP3 = "icate ic|ative |alize al|iciti ic|ical ic|ful |ness "
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
+_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+_STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _consonant(w: str, i: int) -> bool:
@@ -109,9 +122,8 @@ def _cvc(w: str) -> bool:
     return len(w) > 2 and _consonant(w, len(w) - 1) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 3) and w[-1] not in "wxy"
 
 
-def _longest(w: str, table: str) -> tuple[str, str] | None:
-    rules = [(x.split(" ")[0], x.split(" ")[1]) for x in table.split("|")]
-    return max(((s, r) for s, r in rules if w.endswith(s)), key=lambda x: len(x[0]), default=None)
+def _longest(w: str, table: tuple[tuple[str, str], ...]) -> tuple[str, str] | None:
+    return max((rule for rule in table if w.endswith(rule[0])), key=lambda x: len(x[0]), default=None)
 
 
 def porter(w: str) -> str:
@@ -136,7 +148,7 @@ def porter(w: str) -> str:
     for table in (_STEP2, _STEP3):
         if (rule := _longest(w, table)) and _measure(w[: -len(rule[0])]) > 0:
             w = w[: -len(rule[0])] + rule[1]
-    ends = [s for s in _STEP4.split() if w.endswith(s)] + (["ion"] if w.endswith(("sion", "tion")) else [])
+    ends = [s for s in _STEP4 if w.endswith(s)] + (["ion"] if w.endswith(("sion", "tion")) else [])
     if ends and _measure(w[: -len(max(ends, key=len))]) > 1:
         w = w[: -len(max(ends, key=len))]
     if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _cvc(w[:-1])):
@@ -155,3 +167,15 @@ def stemmed(terms: DataFrame, term: str = "term", stem: Callable[[str], str] = p
 
     made = distinct.where(~exempt).mapInPandas(run, f"{term} string, stem string").unionByName(distinct.where(exempt).withColumn("stem", F.col(term)))
     return terms.join(made, term, "left")
+
+
+def stemmed_tokens(docs: DataFrame, doc: str, tokens: Column, stem: Callable[[str], str] = porter) -> DataFrame:
+    """doc, tokens: an array of stems in order, for every document: clean, lower, split, stop words, validity, domain terms, then stems.
+
+    Stems are made once a distinct term and joined back to the occurrences; the join's small side is a written table.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), tokens.alias("t"))
+    terms = written(stemmed(rows.select(F.explode("t").alias("term")).distinct(), "term", stem), "stems")
+    said = rows.select("doc", F.posexplode("t").alias("pos", "term")).join(checked(terms), "term")
+    lists = said.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("tokens"))
+    return docs.select(F.col(doc).alias("doc")).join(lists, "doc", "left").select("doc", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))

@@ -2,7 +2,8 @@
 
 Postings are (doc, col, term, pos). A query is parsed on the driver into terms,
 phrases, prefixes, AND, OR and NOT, and becomes aggregates over the postings of its
-own terms only; no document without one of them is read.
+own terms; over a stored index (clustered by term) only their files and row groups are
+read, with the lengths of documents from a table of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from pyspark.sql import functions as F
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 K1, B = 1.2, 0.75
+# The indexed columns of items and of comments, in order.
+ISSUE_COLUMNS = (
+    "issue_key issue_int title description summary resolution resolution_description project_key type priority status assignee reporter "
+    "work_group change_category change_impact related_url related_artifacts related_pages"
+).split()
+COMMENT_COLUMNS = "comment_id issue_key author body".split()
 
 
 def terms_of(text: Column) -> Column:
@@ -127,12 +134,22 @@ def _leaf_hits(post: DataFrame, leaf: Node) -> DataFrame:
     return starts.groupBy("doc").agg(F.count(F.lit(1)).alias("f"))
 
 
-def search(post: DataFrame, query: str | Node, columns: list[str] | None = None, limit: int | None = None, *, order: str = "best") -> DataFrame:
-    """doc, rank: matching documents; lower is better. ``order='reference'`` lists the worst first."""
+def issue_postings(wide: DataFrame) -> DataFrame:
+    """Postings of the wide view over all indexed columns, keyed by issue_key; columns it lacks are empty."""
+    return postings(wide, "issue_key", [c for c in ISSUE_COLUMNS if c in wide.columns])
+
+
+def comment_postings(comments: DataFrame) -> DataFrame:
+    """Postings of the comments, keyed by comment_id."""
+    return postings(comments.where("comment_id is not null"), "comment_id", COMMENT_COLUMNS)
+
+
+def search(post: DataFrame, query: str | Node, columns: list[str] | None = None, limit: int | None = None, *, order: str = "best", sizes: DataFrame | None = None) -> DataFrame:
+    """doc, rank: matching documents; lower is better. ``order='reference'`` lists the worst first. ``sizes``: a stored table of :func:`lengths`."""
     tree = parse(query) if isinstance(query, str) else query
     leaves = list(dict.fromkeys(tree.leaves()))
     inside = post.where(F.col("col").isin(*columns)) if columns else post
-    sizes = lengths(post)
+    sizes = lengths(post) if sizes is None else sizes
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     tagged = None
     for i, leaf in enumerate(leaves):
@@ -164,18 +181,21 @@ def search(post: DataFrame, query: str | Node, columns: list[str] | None = None,
     return out
 
 
-def search_any_column(post: DataFrame, query: str, columns: list[str], limit: int | None = None, *, order: str = "best") -> DataFrame:
+def search_any_column(post: DataFrame, query: str, columns: list[str], limit: int | None = None, *, order: str = "best", sizes: DataFrame | None = None) -> DataFrame:
     """The query holds inside one of the columns; the best rank over columns counts."""
     out = None
     for c in columns:
-        one = search(post, query, [c])
+        one = search(post, query, [c], sizes=sizes)
         out = one if out is None else out.unionByName(one)
     out = out.groupBy("doc").agg(F.min("rank").alias("rank"))
     return out if limit is None else out.orderBy(F.asc("rank") if order == "best" else F.desc("rank"), "doc").limit(limit)
 
 
 def inconsistencies(df: DataFrame, doc: str, columns: list[str], stored: DataFrame) -> DataFrame:
-    """(doc, stored, fresh) of documents whose stored number of postings isn't that of a recount."""
-    fresh = postings(df, doc, columns).groupBy("doc").agg(F.count(F.lit(1)).alias("fresh"))
-    old = stored.groupBy("doc").agg(F.count(F.lit(1)).alias("stored"))
-    return old.join(fresh, "doc", "full").select("doc", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("fresh", F.lit(0)).alias("fresh")).where("stored <> fresh")
+    """(doc, stored, fresh) of documents whose stored postings aren't those of a recount: their numbers, which are equal where only the content differs."""
+    print_ = F.sum(F.xxhash64("col", "term", "pos").cast("decimal(38,0)"))  # of a bag of postings, whatever the order
+    count = [F.count(F.lit(1)).alias("n"), print_.alias("print")]
+    fresh = postings(df, doc, columns).groupBy("doc").agg(*count).withColumnsRenamed({"n": "fresh", "print": "fresh_print"})
+    old = stored.groupBy("doc").agg(*count).withColumnsRenamed({"n": "stored", "print": "stored_print"})
+    same = F.col("stored_print").eqNullSafe(F.col("fresh_print")) & F.col("stored").eqNullSafe(F.col("fresh"))
+    return old.join(fresh, "doc", "full").where(~same).select("doc", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("fresh", F.lit(0)).alias("fresh"))

@@ -56,6 +56,19 @@ def groups_by_value(rows: DataFrame, item: str, value: str) -> DataFrame:
     return every.join(found, "node", "left").select(F.col("node").alias(item), F.coalesce("component", "node").alias("group"))
 
 
+def connected_values(rows: DataFrame, item: str, value: str, top: int = 10, *, with_items: bool = False) -> DataFrame:
+    """value, n (and, if wanted, items in order): the ``top`` values that most items have, of those with two items or more; ties by value.
+
+    Counts leave each task as partial sums; item lists are gathered for the ``top`` values only.
+    """
+    pairs = rows.select(F.col(item).alias("item"), F.col(value).alias("value")).where("item is not null and value is not null").distinct()
+    best = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "value").limit(top)
+    if not with_items:
+        return best
+    lists = pairs.join(F.broadcast(best), "value").groupBy("value", "n").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return lists.orderBy(F.desc("n"), "value")
+
+
 def packed_batches(sizes: list[tuple[object, int]], batch: int) -> list[list[tuple[object, int, int]]]:
     """Groups (name, size) into batches of ``batch`` items: largest first, a group larger than a batch split, else never; (name, from, to)."""
     out: list[list[tuple[object, int, int]]] = []

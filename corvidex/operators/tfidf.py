@@ -2,56 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.plans.shared import written
+from corvidex.operators.upsert import first_rows
+from corvidex.plans.shared import checked, written
 
 
 @dataclass(frozen=True)
 class Options:
-    """Document frequency band (the upper end as a share) and token lengths."""
+    """Document frequency band (the upper end as a share), token lengths, keywords kept of a document, documents of a batch."""
 
     min_df: int = 2
     max_df: float = 0.7
     min_length: int = 2
     max_length: int = 30
+    top: int = 10
+    batch: int = 5000
 
     def problems(self) -> list[str]:
         """What is out of range, in words."""
-        out = []
-        if self.min_df < 1:
-            out.append("min_df must be 1 or more")
-        if not 0 < self.max_df <= 1:
-            out.append("max_df must lie in (0, 1]")
-        if self.min_length < 1:
-            out.append("min_length must be 1 or more")
-        if self.max_length < self.min_length:
-            out.append("max_length must not be below min_length")
-        return out
+        # The ranges.
+        rules = (
+            (not 1 <= self.batch <= 10_000, "batch must lie in 1 to 10000"),
+            (not 1 <= self.top <= 100, "top must lie in 1 to 100"),
+            (not 1 <= self.min_df <= 1000, "min_df must lie in 1 to 1000"),
+            (not 0 < self.max_df <= 1, "max_df must lie in (0, 1]"),
+            (not 1 <= self.min_length <= 50, "min_length must lie in 1 to 50"),
+            (not self.min_length <= self.max_length <= 100, "max_length must lie in min_length to 100"),
+            (self.max_df < self.min_df / 10_000, "max_df is too low beside min_df"),
+        )
+        return [said for wrong, said in rules if wrong]
+
+
+def first_of_each(docs: DataFrame, doc: str, order: Column) -> DataFrame:
+    """``docs`` without rows of a null id, and of rows that repeat an id the first by ``order``.
+
+    One narrow aggregate over the ids; only rows of repeated ids are ranked.
+    """
+    rows = docs.where(F.col(doc).isNotNull())
+    again = written(rows.groupBy(F.col(doc).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "again")
+    if again.isEmpty():
+        return rows
+    side = checked(again)
+    single = rows.join(side, F.col(doc) == F.col("again"), "left_anti")
+    return single.unionByName(first_rows(rows.join(side, F.col(doc) == F.col("again"), "left_semi"), [doc], [order]))
 
 
 def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf. Counted per document in the scan's task first; one shuffle of distinct terms."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc, term, tf; the first of the documents of an id counts. Counted per document in the scan's task first; one shuffle of distinct terms."""
+    rows = first_of_each(docs, doc, F.xxhash64(F.to_json(F.struct(tokens))))
+    return rows.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @dataclass
 class Corpus:
-    """Term counts on disk, read by every statistic; n: documents with a token."""
+    """Term counts on disk, read by every statistic; n: documents with a token; terms: (term, df) on disk, where there is such a table."""
 
     tf: DataFrame
     n: int
+    terms: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, doc: str, tokens: Column) -> Corpus:
+        """Of repeated ids one document counts, documents without tokens none."""
         tf = written(term_counts(docs, doc, tokens), "tf")
         return cls(tf, tf.agg(F.count_distinct("doc").alias("n")).first()["n"])
 
     def df(self) -> DataFrame:
-        return self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.terms if self.terms is not None else self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def band(self, o: Options, lenient: bool = False) -> Column:
         low, high = (1, self.n) if lenient and self.n < 5 else (o.min_df, int(o.max_df * self.n))
@@ -79,6 +101,11 @@ class Corpus:
         w = Window.partitionBy("doc").orderBy(F.desc("tfidf"), "term")
         return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
 
+    def pure_stats(self, o: Options = Options(max_df=0.5)) -> DataFrame:
+        """term, idf, df inside the band, which holds for the smallest corpora too (unlike :meth:`pure`)."""
+        idf = F.lit(1.0) if self.n == 1 else F.log((self.n + 1.0) / (F.col("df") + 1))
+        return self.df().where(self.band(o)).select("term", idf.alias("idf"), "df")
+
     def light(self) -> DataFrame:
         """doc, term, score = count / length * ln(N / df), no filters."""
         length = self.tf.groupBy("doc").agg(F.sum("tf").alias("length"))
@@ -126,19 +153,62 @@ def cosine_to(vectors: DataFrame, source, *, doc: str = "doc", term: str = "term
     return norms.where(F.col(doc) != source).join(dots, doc, "left").select(doc, F.coalesce(F.try_divide("dot", F.col("norm") * norm), F.lit(0.0)).alias("similarity"))
 
 
-#: Scorers by name, each (corpus, options) -> (doc, term, score).
+def similar(vectors: DataFrame, source, top: int = 5) -> DataFrame:
+    """The ``top`` documents nearest to ``source``, ties by id."""
+    return cosine_to(vectors, source).orderBy(F.desc("similarity"), "doc").limit(top)
+
+
+def cosine(vectors: DataFrame, a, b) -> DataFrame:
+    """One row: the cosine of two documents, 0 if either has no terms."""
+    both = vectors.where(F.col("doc").isin(a, b)).groupBy("term").agg(F.coalesce(F.sum(F.when(F.col("doc") == a, F.col("w"))), F.lit(0.0)).alias("x"), F.coalesce(F.sum(F.when(F.col("doc") == b, F.col("w"))), F.lit(0.0)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return both.agg(F.coalesce(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))), F.lit(0.0)).alias("similarity"))
+
+
+def shared_top_terms(a: DataFrame, b: DataFrame, top: int = 10) -> DataFrame:
+    """(doc, shared): how many of a document's ``top`` terms by two scorers (doc, term, score) are the same, for documents of both."""
+
+    def best_of(scored: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy("doc").orderBy(F.desc(F.round("score", 9)), "term")
+        return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).groupBy("doc").agg(F.collect_set("term").alias(name))
+
+    return best_of(a, "x").join(best_of(b, "y"), "doc").select("doc", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+
+
+@dataclass(frozen=True)
+class Method:
+    """A scorer (corpus, options) -> (doc, term, score) and what it can do."""
+
+    score: Callable[[Corpus, Options], DataFrame]
+    #: df band applied, terms of one document outside the band dropped, scores comparable over documents of different length
+    banded: bool
+    normalised: bool
+    positive: bool
+
+
 METHODS = {
-    "library": lambda c, o: c.keywords(o).select(F.col("issue_key").alias("doc"), F.col("keyword").alias("term"), F.col("tfidf_score").alias("score")),
-    "pure": lambda c, o: c.pure(o).select("doc", "term", F.col("tfidf").alias("score")),
-    "light": lambda c, o: c.light(),
+    "library": Method(lambda c, o: c.keywords(o).select(F.col("issue_key").alias("doc"), F.col("keyword").alias("term"), F.col("tfidf_score").alias("score")), True, False, False),
+    "pure": Method(lambda c, o: c.pure(o).select("doc", "term", F.col("tfidf").alias("score")), True, True, True),
+    "light": Method(lambda c, o: c.light(), False, True, False),
 }
 
 
-def scores(corpus: Corpus, method: str = "library", options: Options = Options()) -> DataFrame:
-    """doc, term, score by the scorer named."""
-    if method not in METHODS:
-        raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
-    return METHODS[method](corpus, options)
+def capabilities(spark: SparkSession) -> DataFrame:
+    """One row a scorer: what it can do."""
+    return spark.createDataFrame([(n, m.banded, m.normalised, m.positive) for n, m in METHODS.items()], "method string, banded boolean, normalised boolean, positive boolean")
+
+
+def scores(corpus: Corpus, method: str = "library", options: Options = Options(), fallback: tuple[str, ...] = ()) -> DataFrame:
+    """doc, term, score by the scorer named, or by the first of ``fallback`` that has any score where it has none."""
+    for name in (method, *fallback):
+        if name not in METHODS:
+            raise ValueError(f"{name!r} is none of {', '.join(METHODS)}")
+    out = METHODS[method].score(corpus, options)
+    for name in fallback:
+        if not out.isEmpty():
+            break
+        out = METHODS[name].score(corpus, options)
+    return out
 
 
 def with_fallback(first: Column, second: Column) -> Column:

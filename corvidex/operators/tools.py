@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvidex.functions.clean import url_stem
 from corvidex.operators import fts
 from corvidex.operators.upsert import attribute_map
+from corvidex.plans.shared import BROADCAST_ROWS
 
 # The columns of a search without named fields.
 SEARCH_FIELDS = ["title", "description", "summary", "resolution_description"]
@@ -31,10 +32,16 @@ def list_items(df: DataFrame, *, order: str = "issue_int", key: str = "issue_key
     return filtered(df, **equal).orderBy(F.desc(order), key).offset(offset).limit(limit)
 
 
-def search_items(df: DataFrame, post: DataFrame, query: str, *, fields: list[str] | None = None, limit: int = 50, order: str = "best") -> DataFrame:
+def with_hits(df: DataFrame, hits: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """Rows of ``df`` whose issue_key is the ``key`` of a hit; a hit list bounded by ``limit`` is broadcast, an unbounded one shuffled."""
+    side = hits.withColumnRenamed(key, "_hit")
+    return df.join(F.broadcast(side) if limit is not None and limit <= BROADCAST_ROWS else side, df["issue_key"] == F.col("_hit")).drop("_hit")
+
+
+def search_items(df: DataFrame, post: DataFrame, query: str, *, fields: list[str] | None = None, limit: int | None = 50, order: str = "best", sizes: DataFrame | None = None) -> DataFrame:
     """Whole rows of the matching items with their rank."""
-    hits = fts.search_any_column(post, query, fields or SEARCH_FIELDS, limit, order=order)
-    return df.join(F.broadcast(hits), df["issue_key"] == hits["doc"]).drop("doc").orderBy(F.asc("rank") if order == "best" else F.desc("rank"), "issue_key")
+    hits = fts.search_any_column(post, query, fields or SEARCH_FIELDS, limit, order=order, sizes=sizes)
+    return with_hits(df, hits, "doc", limit).orderBy(F.asc("rank") if order == "best" else F.desc("rank"), "issue_key")
 
 
 def like_terms(value: str | None, field: str, *, keep_empty: bool = False) -> list[str]:
@@ -67,25 +74,33 @@ def merged(*lists: DataFrame, drop: str | None = None, limit: int | None = None)
     return out if limit is None else out.limit(limit)
 
 
-def related_keys(df: DataFrame, post: DataFrame, key: str, linked: DataFrame, keywords: str | None = None, limit: int = 10) -> DataFrame:
+def related_keys(df: DataFrame, post: DataFrame, key: str, linked: DataFrame, keywords: str | None = None, limit: int | None = 10, *, sizes: DataFrame | None = None) -> DataFrame:
     """Linked keys first, then items alike in project, group and related fields, then keyword matches."""
     row = df.where(F.col("issue_key") == key).limit(1).first()
     if row is None:
         raise LookupError(key)
     same = filtered(df, project_key=row["project_key"], work_group=row["work_group"]).where(F.col("issue_key") != key)
     more = field_condition({f: row[f] for f in LISTS if f in df.columns})
-    same = (same.where(more) if more is not None else same).orderBy(F.desc("issue_int"), "issue_key").limit(limit).select("issue_key", (-F.col("issue_int")).alias("pos"))
+    same = same.where(more) if more is not None else same
+    if limit is not None:
+        same = same.orderBy(F.desc("issue_int"), "issue_key").limit(limit)
+    same = same.select("issue_key", (-F.col("issue_int")).alias("pos"))
     parts = [linked.select("issue_key", "pos"), same]
     if keywords:
-        hits = fts.search_any_column(post, keywords, SEARCH_FIELDS, limit)
+        hits = fts.search_any_column(post, keywords, SEARCH_FIELDS, limit, sizes=sizes)
         parts.append(hits.select(F.col("doc").alias("issue_key"), F.floor(F.col("rank") * 1e9).cast("long").alias("pos")))
     return merged(*parts, drop=key, limit=limit)
 
 
-def find_related(df: DataFrame, post: DataFrame, key: str, linked: DataFrame, keywords: str | None = None, limit: int = 10) -> DataFrame:
+def find_related(df: DataFrame, post: DataFrame, key: str, linked: DataFrame, keywords: str | None = None, limit: int | None = 10, *, sizes: DataFrame | None = None) -> DataFrame:
     """As :func:`related_keys`, with whole rows; keys without an item go."""
-    keys = related_keys(df, post, key, linked, keywords, limit)
-    return df.join(F.broadcast(keys), "issue_key").orderBy("src", "pos", "issue_key")
+    keys = related_keys(df, post, key, linked, keywords, limit, sizes=sizes)
+    return with_hits(df, keys, "issue_key", limit).orderBy("src", "pos", "issue_key")
+
+
+def rows_in_order(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` for (issue_key, pos) in the order of pos, as often as a key is listed; keys without an item go."""
+    return keys.join(df, "issue_key").orderBy("pos")
 
 
 def linked_keys(attributes: DataFrame, key: str, name: str = "Related Issues") -> DataFrame:
@@ -109,7 +124,7 @@ def details(df: DataFrame, attributes: DataFrame, comments: DataFrame, order: li
 
 
 def item_comments(comments: DataFrame, key: str) -> DataFrame:
-    return comments.where(F.col("issue_key") == key).orderBy(F.desc_nulls_last("created_at"))
+    return comments.where(F.col("issue_key") == key).orderBy(F.desc_nulls_last("created_at"), "comment_id")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -12,22 +12,32 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most this many narrow (<= 64 byte) records may be broadcast.
+#: A table may be broadcast if it has at most this many rows and bytes of values.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``. A temporary one of our own only where none is set and all tasks run in this very process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvidex-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def folder(spark: SparkSession, path: str):
+    """(path, file system) of the JVM for a path in any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema.
 
@@ -54,21 +64,37 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_corvidex_path", None)
         if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+            target, fs = folder(df.sparkSession, path)
+            fs.delete(target, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every table that :func:`written` left in the shared folder; results not yet collected need them."""
-    jvm, jsc = spark._jvm, spark.sparkContext._jsc
-    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvidex")
-    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    target, fs = folder(spark, f"{shared_dir(spark)}/corvidex")
+    fs.delete(target, True)
+
+
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row: 8 each, and as many as it has for text, binary and nested ones."""
+    out = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        kind, c = f.dataType.typeName(), F.col("`" + f.name.replace("`", "``") + "`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("struct", "array", "map"):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return out
+
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a *written* narrow table has at most ``limit`` rows and ``most`` bytes of values (one cheap aggregate)."""
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(value_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return n["rows"] <= limit and n["bytes"] <= most
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a *written* narrow table has at most ``limit`` rows (one cheap count)."""
-    return df.count() <= limit
+
+def checked(df: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if :func:`small`, else as it is."""
+    return F.broadcast(df) if small(df) else df
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,9 +106,15 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 
 
 def arrow_batches(spark: SparkSession, rows: int = 256, mb: int = 32) -> None:
-    """Bound the Arrow batches sent to Python workers by rows and by bytes (long texts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Lower the session's bounds of Arrow batches sent to Python workers to these rows and bytes (long texts).
+
+    Lazy results read the settings when they run, so they stay; narrower ones of the session's own are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def as_text(c: Column | str) -> Column:

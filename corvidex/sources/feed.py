@@ -24,6 +24,8 @@ ITEM = (
 )
 OPTIONS = {"rowTag": "item", "attributePrefix": "@_", "valueTag": "#text", "mode": "PERMISSIVE"}
 FLOOR = "2015-07-13"
+#: Items without a key go, with all that belongs to them.
+HAS_KEY = "coalesce(key.`#text`, '') <> ''"
 
 
 def read_feed(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
@@ -45,7 +47,7 @@ def issues_of(items: DataFrame) -> DataFrame:
     """One record an item; items without a key go."""
     t = lambda c: F.col(f"{c}.`#text`")
     ref = lambda c: [_id(f"{c}.`@_id`").alias(f"{c}_id"), t(c).alias(c)]
-    return items.where(F.coalesce(t("key"), F.lit("")) != "").select(
+    return items.where(HAS_KEY).select(
         t("key").alias("key"), _id("key.`@_id`").alias("id"), "title", "link", _id("project.`@_id`").alias("project_id"), F.col("project.`@_key`").alias("project_key"),
         "description", "summary", *ref("type"), *ref("priority"), *ref("status"), _id("status.statusCategory.`@_id`").alias("status_category_id"),
         F.col("status.statusCategory.`@_key`").alias("status_category_key"), F.col("status.statusCategory.`@_colorName`").alias("status_category_color"),
@@ -58,27 +60,28 @@ def attributes_of(items: DataFrame) -> DataFrame:
     """One row a custom field; several values joined by comma and space, structured ones as JSON."""
     key = F.col("key.`#text`")
     values = F.transform(F.col("f.customfieldvalues.customfieldvalue"), lambda v: F.coalesce(v["#text"], F.to_json(v)))
-    return items.where(key.isNotNull()).select(key.alias("issue_key"), "source_file", "item_pos", F.posexplode("customfields.customfield").alias("elem_pos", "f")).select(
+    return items.where(HAS_KEY).select(key.alias("issue_key"), "source_file", "item_pos", F.posexplode("customfields.customfield").alias("elem_pos", "f")).select(
         "issue_key", F.col("f.`@_id`").alias("field_id"), F.col("f.`@_key`").alias("field_key"), F.col("f.customfieldname").alias("field_name"), F.array_join(values, ", ").alias("field_value"), "source_file", "item_pos", "elem_pos",
     )
 
 
 def comments_of(items: DataFrame) -> DataFrame:
     key = F.col("key.`#text`")
-    return items.where(key.isNotNull()).select(key.alias("issue_key"), "source_file", "item_pos", F.posexplode("comments.comment").alias("elem_pos", "c")).select(
+    return items.where(HAS_KEY).select(key.alias("issue_key"), "source_file", "item_pos", F.posexplode("comments.comment").alias("elem_pos", "c")).select(
         F.col("c.`@_id`").alias("comment_id"), "issue_key", F.col("c.`@_author`").alias("author"), feed_time(F.col("c.`@_created`")).alias("created_at"), F.col("c.`#text`").alias("body"), "source_file", "item_pos", "elem_pos",
     )
 
 
 def extracted(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of the files in tar archives, the first folder level stripped."""
+    """(name, content) of the files in tar archives, the first folder level stripped; a file at a time leaves the worker."""
 
     def run(batches):
         for b in batches:
             for content in b["content"]:
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows = [(m.name.split("/", 1)[-1], tar.extractfile(m).read()) for m in tar if m.isfile()]
-                yield pd.DataFrame(rows, columns=["name", "content"])
+                    for m in tar:
+                        if m.isfile():
+                            yield pd.DataFrame([(m.name.split("/", 1)[-1], tar.extractfile(m).read())], columns=["name", "content"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, content binary")
 

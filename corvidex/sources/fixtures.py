@@ -1,7 +1,8 @@
 """The tracker's tables as views over the synthetic tables.
 
 issues from documents (created_at and status from the event of the same number),
-attributes from labels, sources and page addresses, comments from conversations.
+attributes from labels, sources, page addresses and neighbours, comments from conversations.
+The title is a title by construction: the first 80 characters; the description is the whole text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def key(c: str):
-    return F.concat(F.lit("DOC-"), F.col(c).cast("string"))
+    return F.concat(F.lit("DOC-"), F.expr(c).cast("string"))
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels.select(key("doc_id"), F.lit("toxic"), F.col("toxic").cast("string")),
         docs.select(key("doc_id"), F.lit("Work Group"), F.col("source")),
         pages.select(key("page_id"), F.lit("Related URL"), F.col("url")),
+        docs.select(key("doc_id"), F.lit("Related Issues"), F.concat(key("doc_id + 1"), F.lit(", "), key("doc_id + 3"), F.lit(",,"), key("doc_id + 1"), F.lit(",GONE-1"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -46,6 +48,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 ISSUES = "issues AS (SELECT 'DOC-' || d.doc_id AS issue_key, d.lang AS project_key, left(d.text, 80) AS title, d.text AS description, e.event_type AS status, e.ts AS created_at, d.doc_id FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id)"
 ATTRIBUTES = (
     "attributes AS (SELECT 'DOC-' || doc_id AS issue_key, 'quality' AS field_name, quality::VARCHAR AS field_value FROM labels UNION ALL SELECT 'DOC-' || doc_id, 'toxic', toxic::VARCHAR FROM labels "
-    "UNION ALL SELECT 'DOC-' || doc_id, 'Work Group', source FROM documents UNION ALL SELECT 'DOC-' || page_id, 'Related URL', url FROM pages)"
+    "UNION ALL SELECT 'DOC-' || doc_id, 'Work Group', source FROM documents UNION ALL SELECT 'DOC-' || page_id, 'Related URL', url FROM pages "
+    "UNION ALL SELECT 'DOC-' || doc_id, 'Related Issues', 'DOC-' || (doc_id + 1) || ', DOC-' || (doc_id + 3) || ',,DOC-' || (doc_id + 1) || ',GONE-1' FROM documents)"
 )
 COMMENTS = "comments AS (SELECT conv_id || '-' || turn AS comment_id, 'DOC-' || conv_id AS issue_key, role AS author, text AS body, turn FROM conversations)"
