@@ -38,7 +38,7 @@ def folder(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
+def written(df: DataFrame, label: str = "table", *, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema.
 
     The shuffle files of that one execution go when it ends, as nothing reads them
@@ -50,7 +50,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     if before is not None:
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)
