@@ -70,7 +70,7 @@ def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.edited_counts(table(spark, sf_dir).select("doc_id", "text")).select("doc_id", "edit.*")
+    return token_counts.edited_counts(table(spark, sf_dir))
 
 
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

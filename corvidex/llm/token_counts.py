@@ -7,12 +7,14 @@ boundaries meet the old ones, encodes only those pre-tokens and updates the sums
 above the blocks it touched. Splitting looks ahead but never back, so from a common
 boundary on nothing changes.
 
-Trees live inside one call and are not kept in a table: ``edited_counts`` splits and
-counts every whole text once before its edits, so only the edits themselves are saved
-work (``n_encoded`` pre-tokens for all of them).
+Trees are kept in a table: the text and, pre-token by pre-token, its characters and its
+tokens (:func:`trees`). :func:`apply_edits` restores each tree from those, without splitting
+or encoding the text again, applies the row's edits and gives the table's new rows, from
+which later edits go on. A block that grows beyond four times its size is split.
 
 Defined cases: null and empty texts have no tokens; edits beyond the end are cut to
-it; rows are independent, so repeated rows and ties don't matter.
+it; a null list of edits has none; rows are independent, so repeated rows, null ids and
+ties don't matter; columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from corvidex.plans.shared import arrow_batches, as_text
+from corvidex.llm.names import quoted, unused
+from corvidex.plans.shared import arrow_batches, as_text, written
 
 BLOCK = 64
 # The pre-token pattern over Latin-1, with its classes spelled out; other texts take the full one.
@@ -69,18 +72,30 @@ class Counter:
 class Tree:
     """A text, its pre-token blocks and a segment tree of (characters, tokens) over the blocks."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, lengths: list[int], counts: list[int]):
         self.text, self.counter = text, counter
+        self.blocks = [(lengths[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(lengths), BLOCK)] or [([], [])]
+        self.build()
+        self.encoded = 0
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> Tree:
         pieces = counter.pattern(text).findall(text)
-        lengths, counts = list(map(len, pieces)), counter.counts(pieces)
-        self.blocks = [(lengths[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)] or [([], [])]
+        return cls(text, counter, list(map(len, pieces)), counter.counts(pieces))
+
+    def build(self) -> None:
+        """The sums of all nodes from the blocks."""
         self.leaves = 1 << (len(self.blocks) - 1).bit_length()
         self.sums = np.zeros((2 * self.leaves, 2), dtype=np.int64)
-        for b, (x, y) in enumerate(self.blocks):
-            self.sums[self.leaves + b] = sum(x), sum(y)
-        for node in range(self.leaves - 1, 0, -1):
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-        self.encoded = 0
+        self.sums[self.leaves : self.leaves + len(self.blocks)] = [(sum(x), sum(y)) for x, y in self.blocks]
+        at = self.leaves
+        while at > 1:
+            self.sums[at // 2 : at] = self.sums[at : 2 * at : 2] + self.sums[at + 1 : 2 * at : 2]
+            at //= 2
+
+    def lists(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of every pre-token."""
+        return [n for x, _ in self.blocks for n in x], [n for _, y in self.blocks for n in y]
 
     @property
     def tokens(self) -> int:
@@ -145,9 +160,14 @@ class Tree:
             self.blocks[first] = (self.blocks[first][0] + tail[0], self.blocks[first][1] + tail[1])
         else:
             self.blocks[last] = tail
-        for k in range(first, last + 1):
-            self.update(k)
         self.text = text
+        if len(self.blocks[first][0]) > 4 * BLOCK:
+            x, y = self.blocks[first]
+            self.blocks[first : first + 1] = [(x[k : k + BLOCK], y[k : k + BLOCK]) for k in range(0, len(x), BLOCK)]
+            self.build()
+        else:
+            for k in range(first, last + 1):
+                self.update(k)
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -159,31 +179,86 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def sample_edits(text: str) -> list[tuple[int, int, str]]:
-    """Three edits of a text, from its end to its start: a replacement by its own head, a deletion, an insertion."""
-    n = len(text)
-    return [(3 * n // 4, 3 * n // 4 + 9, text[:24]), (n // 2, n // 2 + 17, ""), (n // 4, n // 4, " Note 2: it's new,\n")]
+def packed(values: list[int]) -> bytes:
+    """One byte a value where they fit, else four; the first byte tells."""
+    x = np.array(values, dtype=np.int32)
+    return b"\x01" + x.astype(np.uint8).tobytes() if not len(x) or x.max() < 256 else b"\x04" + x.tobytes()
 
 
-def edited_counts(docs: DataFrame, edits=sample_edits, *, path: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with edit = struct<n_tokens, n_tokens_after, n_pieces, n_encoded>: counts before and after ``edits(text)``."""
-    if path is None:
-        import public_tokenizers
+def unpacked(b: bytes) -> list[int]:
+    return np.frombuffer(b, np.uint8 if b[0] == 1 else np.int32, offset=1).tolist()
+
+
+EDIT = "array<struct<start:int,end:int,new:string>>"
+_TREE = T.StructType([T.StructField("lengths", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_pieces", T.LongType())])
+_EDITED = T.StructType([T.StructField("text", T.StringType()), *_TREE.fields, T.StructField("n_encoded", T.LongType())])
+
+
+def _path(path: str | None) -> str:
+    import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def trees(docs: DataFrame, *, path: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with its text not null, and lengths, counts (the tree), n_tokens, n_pieces: a table to write."""
+    path = _path(path)
     arrow_batches(docs.sparkSession)
-    names = ["n_tokens", "n_tokens_after", "n_pieces", "n_encoded"]
 
-    @arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in names]))
+    @arrow_udf(_TREE)
     def run(text: pa.Array) -> pa.Array:
         rows = []
         for t in text.to_pylist():
-            tree = Tree(t, counter(path))
-            before, pieces = tree.tokens, sum(len(x) for x, _ in tree.blocks)
-            for e in edits(t):
-                tree.edit(*e)
-            rows.append((before, tree.tokens, pieces, tree.encoded))
+            tree = Tree.of(t, counter(path))
+            x, y = tree.lists()
+            rows.append((packed(x), packed(y), tree.tokens, len(x)))
         columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _TREE.names)
+
+    (tree,) = unused(docs, "tree")
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in [n.lower() for n in (text, *_TREE.names)]]
+    body = as_text(F.col(quoted(text)))
+    return docs.withColumn(text, body).withColumn(tree, run(F.col(quoted(text)))).select(*kept, F.col(quoted(text)), *(F.col(tree)[n].alias(n) for n in _TREE.names))
+
+
+def apply_edits(rows: DataFrame, edits: Column, *, path: str | None = None, text: str = "text") -> DataFrame:
+    """Rows of a table of :func:`trees` after ``edits``, a column of type :data:`EDIT` applied in order, with n_before and n_encoded (pre-tokens encoded for them)."""
+    path = _path(path)
+    arrow_batches(rows.sparkSession)
+
+    @arrow_udf(_EDITED)
+    def run(text: pa.Array, lengths: pa.Array, counts: pa.Array, edits: pa.Array) -> pa.Array:
+        out = []
+        for t, x, y, todo in zip(text.to_pylist(), lengths.to_pylist(), counts.to_pylist(), edits.to_pylist(), strict=True):
+            if todo:
+                tree = Tree(t, counter(path), unpacked(x), unpacked(y))
+                for e in todo:
+                    tree.edit(e["start"], e["end"], e["new"])
+                x, y = tree.lists()
+                out.append((tree.text, packed(x), packed(y), tree.tokens, len(x), tree.encoded))
+            else:
+                n = unpacked(y)
+                out.append((t, x, y, sum(n), len(n), 0))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        types = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, types, strict=True)], _EDITED.names)
+
+    (done,) = unused(rows, "done")
+    ours = [n.lower() for n in (text, *_EDITED.names, "n_before")]
+    kept = [F.col(quoted(c)) for c in rows.columns if c.lower() not in ours]
+    new = rows.withColumn(done, run(F.col(quoted(text)), F.col("lengths"), F.col("counts"), edits.cast(EDIT)))
+    return new.select(*kept, F.col("n_tokens").alias("n_before"), F.col(done)["text"].alias(text), *(F.col(done)[n].alias(n) for n in _EDITED.names[1:]))
+
+
+def sample_edits(text: Column) -> Column:
+    """Three edits of a text, from its end to its start: a replacement by its own head, a deletion, an insertion."""
+    n = F.length(text)
+    places = ((3 * n / 4, 9, F.left(text, F.lit(24))), (n / 2, 17, F.lit("")), (n / 4, 0, F.lit(" Note 2: it's new,\n")))
+    return F.array(*(F.struct(F.floor(at).cast("int").alias("start"), (F.floor(at) + more).cast("int").alias("end"), new.alias("new")) for at, more, new in places))
+
 
-    return docs.withColumn("edit", run(as_text(text)))
+def edited_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_pieces, n_encoded: trees go to a table, :func:`sample_edits` are applied to what is read from it."""
+    kept = written(trees(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), path=path), "trees", codec="zstd")
+    done = apply_edits(kept.withColumnRenamed("n_pieces", "pieces_before"), sample_edits(F.col("text")), path=path)
+    return done.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("pieces_before").alias("n_pieces"), "n_encoded")

@@ -1,6 +1,7 @@
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvidex.llm import token_counts as tc
 from corvidex.llm.queries import op8_edit_aware_counts
@@ -20,16 +21,25 @@ def test_latin_pattern_is_the_full_one():
 def test_edits_equal_a_recount(text, edits):
     old, tc.BLOCK = tc.BLOCK, 3
     try:
-        tree = tc.Tree(text, C)
+        tree = tc.Tree.of(text, C)
         for start, n, new in edits:
             text = text[: min(start, len(text))] + new + text[min(start + n, len(text)) :]
             tree.edit(start, start + n, new)
             assert tree.text == text and tree.tokens == len(C.enc.encode_ordinary(text))
             assert sum(sum(x) for x, _ in tree.blocks) == len(text)
+            assert tree.sums[1].tolist() == [len(text), tree.tokens] and max(len(x) for x, _ in tree.blocks) <= 4 * tc.BLOCK
     finally:
         tc.BLOCK = old
 
 
+def changed(t):
+    """A text after the sample edits."""
+    n = len(t)
+    for s, e, new in ((3 * n // 4, 3 * n // 4 + 9, t[:24]), (n // 2, n // 2 + 17, ""), (n // 4, n // 4, " Note 2: it's new,\n")):
+        t = t[:s] + new + t[e:]
+    return t
+
+
 def test_query(spark, sf, odd, none):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op8_edit_aware_counts(spark, sf).collect()
@@ -37,7 +47,20 @@ def test_query(spark, sf, odd, none):
     for r in rows:
         t = docs[r.doc_id]
         assert r.n_tokens == len(C.enc.encode_ordinary(t))
-        for s, e, new in tc.sample_edits(t):
-            t = t[:s] + new + t[e:]
-        assert r.n_tokens_after == len(C.enc.encode_ordinary(t)) and r.n_encoded < 80
-    assert tc.edited_counts(odd).select("edit.*").count() == odd.count() and tc.edited_counts(none).count() == 0
+        assert r.n_tokens_after == len(C.enc.encode_ordinary(changed(t))) and r.n_encoded < 80
+    assert tc.edited_counts(odd).count() == odd.count() and tc.edited_counts(none).count() == 0
+
+
+def test_later_edits_go_on_from_stored_trees(spark, odd, tmp_path):
+    """Three rounds, each from the table the last one wrote: a large insertion, small edits, none; always a recount of the text."""
+    big = "many new words, 12 of them\n" * 4000
+    rounds = [F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit(big).alias("new"))), tc.sample_edits(F.col("text")), F.lit(None)]
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    tc.trees(odd).write.parquet(str(tmp_path / "0"))
+    for k, edits in enumerate(rounds):
+        tc.apply_edits(spark.read.parquet(str(tmp_path / str(k))), edits).write.parquet(str(tmp_path / str(k + 1)))
+        texts = {i: (t[:3] + big + t[5:], changed(t), t)[k] for i, t in texts.items()}
+        for r in spark.read.parquet(str(tmp_path / str(k + 1))).collect():
+            assert r.text == texts[r.doc_id] and r.n_tokens == len(C.enc.encode_ordinary(r.text))
+            assert sum(tc.unpacked(r.lengths)) == len(r.text) and sum(tc.unpacked(r.counts)) == r.n_tokens
+            assert (r.n_encoded < 80) if k == 1 else k == 0 or r.n_encoded == 0
