@@ -43,9 +43,9 @@ from corvidex.llm.ngram_join import mix
 from corvidex.plans.shared import arrow_batches, as_text, join_small, written
 
 #: Bytes of text coded together; bounds the memory of a task, not what is counted.
-BLOCK = 10 << 20
+BLOCK = 8 << 20
 #: Bytes of text for each range of keys, and the least number of ranges.
-RANGE, LEAST_RANGES = 16 << 20, 16
+RANGE, LEAST_RANGES = 8 << 20, 16
 MU = 50.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +60,18 @@ def from_planes(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def squeezed(n: int, *parts: np.ndarray) -> bytes:
+    """Arrays of ``n`` values as compressed planes behind their number: small in the JVM's rows and buffers too."""
+    return n.to_bytes(8, "little") + pa.compress(b"".join(map(planes, parts)), codec="zstd", asbytes=True)
+
+
+def unsqueezed(b: bytes, *dtypes: type) -> list[np.ndarray]:
+    n = int.from_bytes(b[:8], "little")
+    ends = np.cumsum([0, *(n * np.dtype(t).itemsize for t in dtypes)]).tolist()
+    body = pa.decompress(b[8:], decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    return [from_planes(body[i:j], t) for i, j, t in zip(ends, ends[1:], dtypes, strict=False)]
+
+
 def word_keys(h: np.ndarray) -> np.ndarray:
     """Odd keys of words by their hashes."""
     return mix(h) | np.uint64(1)
@@ -117,7 +129,7 @@ def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
             own, sizes, target = pa.concat_arrays(ids), np.array([len(x) for x in parts], np.int32), np.array(wanted)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             events = sizes + (sizes > 0)
-            body = pa.compress(planes(np.concatenate(parts)), codec="zstd", asbytes=True)
+            body = squeezed(int(sizes.sum()), np.concatenate(parts))
             columns = [pa.array([at]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
             columns += [pa.array([x], pa.binary()) for x in (sizes.tobytes(), target.tobytes(), body, hashes.tobytes())]
             return pa.RecordBatch.from_arrays([*columns, pa.array([int(events.sum())]), pa.array([int(events[target].sum())])], schema.names)
@@ -141,7 +153,7 @@ def coded(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
 def block_of(sizes: bytes, body: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all documents of a block in a row, sizes, hashes."""
     n = np.frombuffer(sizes, np.int32).astype(np.int64)
-    return from_planes(pa.decompress(body, decompressed_size=4 * int(n.sum()), codec="zstd", asbytes=True), np.int32), n, np.frombuffer(hashes, np.uint64)
+    return unsqueezed(body, np.int32)[0], n, np.frombuffer(hashes, np.uint64)
 
 
 def asked(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -159,28 +171,24 @@ def asked(blocks: DataFrame, ranges: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(edges))
                 for lo in range(0, len(full), 1024):
                     some = full[lo : lo + 1024]
-                    bodies = [planes(np.diff(keys[i:j], prepend=np.uint64(0))) + b"".join(planes(c[i:j].astype(np.uint32)) for c in counts) for i, j in zip(edges[some], edges[some + 1], strict=True)]
+                    bodies = [squeezed(int(j - i), np.diff(keys[i:j], prepend=np.uint64(0)), *(c[i:j].astype(np.uint32) for c in counts)) for i, j in zip(edges[some], edges[some + 1], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row["block"])), pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], ["block", "part", "body"])
 
     return blocks.select("block", "sizes", "wanted", "body", "hashes").mapInArrow(run, "block long, part int, body binary")
 
 
-def asked_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and the two counts of one body of :func:`asked`."""
-    n = len(body) // 16
-    return np.cumsum(from_planes(body[: 8 * n], np.uint64), dtype=np.uint64), from_planes(body[8 * n : 12 * n], np.uint32), from_planes(body[12 * n :], np.uint32)
-
-
 def answered(requests: DataFrame) -> DataFrame:
     """Written table of block, part, body (sums in all documents and in target ones, in the order asked) and, in rows without a block, words: the distinct words of the range."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [asked_of(x) for x in table["body"].to_pylist()]
-        keys, where = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
-        sums = [np.bincount(where, weights=np.concatenate([x[k] for x in asked]), minlength=len(keys)).astype(np.int64)[where] for k in (1, 2)]
-        ends = np.cumsum([len(x[0]) for x in asked])
-        bodies = [planes(sums[0][j - len(x[0]) : j]) + planes(sums[1][j - len(x[0]) : j]) for x, j in zip(asked, ends, strict=True)]
-        words = int((keys & np.uint64(1)).sum())
+        asked = [unsqueezed(x.as_py(), np.uint64, np.uint32, np.uint32) for x in table["body"]]
+        ends = np.cumsum([len(x[0]) for x in asked]).tolist()
+        keys, where = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+        words, n = int((keys & np.uint64(1)).sum()), len(keys)
+        del keys
+        sums = [np.bincount(where, weights=np.concatenate([x[k] for x in asked]), minlength=n).astype(np.int64) for k in (1, 2)]
+        starts = [0, *ends[:-1]]
+        bodies = [squeezed(j - i, sums[0][where[i:j]], sums[1][where[i:j]]) for i, j in zip(starts, ends, strict=True)]
         return pa.table([pa.concat_arrays([table["block"].combine_chunks(), pa.nulls(1, pa.int64())]), pa.array([table["part"][0].as_py()] * (len(asked) + 1), pa.int32()), pa.array([*bodies, None], pa.binary()), pa.array([None] * len(asked) + [words], pa.int64())], names=["block", "part", "body", "words"])
 
     return written(requests.groupBy("part").applyInArrow(run, "block long, part int, body binary, words long"), "answered")
@@ -209,11 +217,12 @@ def score(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         loss = np.zeros((2, len(sizes)))
         if len(ids):
             inner, _, word, pair = keyed(ids, sizes, hashes)
-            bodies = [x for _, x in sorted(zip(known["part"].to_pylist(), known["body"].to_pylist(), strict=True))]
+            order = np.argsort(known["part"].to_numpy())
+            answers = [unsqueezed(known["body"][int(i)].as_py(), np.int64, np.int64) for i in order]
             of = np.repeat(np.arange(len(sizes)), sizes)
             before = np.flatnonzero(inner) - 1
             for k, (total, share) in enumerate(models):
-                sums = np.concatenate([from_planes(x[len(x) // 2 * k : len(x) // 2 * (k + 1)], np.int64) for x in bodies])
+                sums = np.concatenate([x[k] for x in answers])
                 c = sums[word[ids]]
                 p = unconditional(c, share, total, room)
                 p[inner] = conditional(sums[pair], c[before], p[inner], share)
