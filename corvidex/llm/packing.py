@@ -3,7 +3,7 @@
 Lengths are at most the sequence size (2048), so the whole packing problem is a
 histogram of 2048 counts whatever the corpus size. The driver plans on that
 histogram: longest lengths first, each gap is filled exactly by one, two or three
-lengths found by hashing on sums, as often as availability counts allow; what no
+lengths from an index of their sums, as often as availability counts allow; what no
 combination fills goes best-fit. The plan is a list of (pattern, multiplicity),
 each step using up at least one length, so it has a bounded number of patterns.
 
@@ -149,12 +149,82 @@ def pieces_of(docs: DataFrame, *, doc_id: str, text: str, path: str, capacity: i
     )
 
 
+class SumIndex:
+    """Sum -> one, two or three lengths that have it, the largest first, as far as availability counts allow.
+
+    For every sum the index holds the larger length of its first pair and the largest of its
+    first triple, filled for all sums when it is made. Counts only fall, so an entry that is
+    used up moves on to the next smaller length and never comes back: over a whole plan each
+    entry passes its lengths once.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        n = len(have)
+        self.two, self.three = np.zeros(n, np.int64), np.zeros(n, np.int64)  # 0: no such sum (any more)
+        for s in range(2, n):
+            self.two[s] = self._pair(s, s - 1)
+        for s in range(3, n):
+            self.three[s] = self._triple(s, s - 2)
+
+    def fits(self, lengths: list[int]) -> bool:
+        return all(self.have[x] >= lengths.count(x) for x in set(lengths))
+
+    def _pair(self, s: int, top: int, lead: list[int] | None = None) -> int:
+        """The largest length up to ``top`` that makes ``s`` with one not longer."""
+        a = np.arange(top, (s + 1) // 2 - 1, -1)
+        good = a[(self.have[a] > 0) & (self.have[s - a] > 0)]
+        return next((x for x in good.tolist() if self.fits([*(lead or ()), x, s - x])), 0)
+
+    def _triple(self, s: int, top: int, lead: list[int] | None = None) -> int:
+        """The largest length up to ``top`` that makes ``s`` with a pair of lengths not longer."""
+        a = np.arange(top, (s + 2) // 3 - 1, -1)
+        for x in a[(self.have[a] > 0) & (self.two[s - a] > 0)].tolist():
+            if self.pair(s - x, [*(lead or ()), x], most=x):
+                return x
+        return 0
+
+    def pair(self, s: int, lead: list[int], most: int | None = None) -> list[int] | None:
+        if s < 2 or not self.two[s]:
+            return None
+        top = int(self.two[s])
+        if not self.fits([top, s - top]):
+            top = self.two[s] = self._pair(s, top - 1)
+        if top and (most is not None and top > most or not self.fits([*lead, top, s - top])):
+            top = self._pair(s, min(top, most or top), lead)
+        return [top, s - top] if top else None
+
+    def triple(self, s: int, lead: list[int]) -> list[int] | None:
+        if s < 3 or not self.three[s]:
+            return None
+        top = int(self.three[s])
+        rest = self.pair(s - top, [top], most=top) if self.have[top] else None
+        if rest is None:
+            top = self.three[s] = self._triple(s, top - 1)
+            rest = self.pair(s - top, [top], most=top) if top else None
+        if rest is not None and not self.fits([*lead, top, *rest]):
+            top = self._triple(s, top, lead)
+            rest = self.pair(s - top, [*lead, top], most=top) if top else None
+        return [top, *rest] if rest is not None else None
+
+    def complement(self, first: int, capacity: int) -> list[int] | None:
+        """``first`` and what fills its gap exactly."""
+        gap = capacity - first
+        if gap == 0:
+            return [first]
+        if self.fits([first, gap]):
+            return [first, gap]
+        rest = self.pair(gap, [first]) or self.triple(gap, [first])
+        return [first, *rest] if rest else None
+
+
 def plan_patterns(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """[([(length, times), ...], multiplicity)] using every count of ``histogram`` (index: length) exactly.
 
-    Filled exactly first (one, two, three lengths by sums), the rest best-fit.
+    Gaps filled exactly first, by the index of single, pair and triple sums; the rest best-fit.
     """
     have = histogram.astype(np.int64).copy()
+    index = SumIndex(have)
     plans: list[tuple[list[tuple[int, int]], int]] = []
 
     def use(lengths: list[int]) -> None:
@@ -164,33 +234,9 @@ def plan_patterns(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple
             have[x] -= t * times
         plans.append((kinds, times))
 
-    def fits(lengths: list[int]) -> bool:
-        return all(have[x] >= lengths.count(x) for x in set(lengths))
-
-    def pair(gap: int, lead: list[int]) -> list[int] | None:
-        """Two lengths with this sum: the larger one from the longest down."""
-        big = np.arange((gap + 1) // 2, gap)[::-1]
-        for a in big[(have[big] > 0) & (have[gap - big] > 0)].tolist():
-            if fits([*lead, a, gap - a]):
-                return [*lead, a, gap - a]
-        return None
-
-    def exact(first: int) -> list[int] | None:
-        gap = capacity - first
-        if gap == 0:
-            return [first]
-        if fits([first, gap]):
-            return [first, gap]
-        if got := pair(gap, [first]):
-            return got
-        for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if have[a] and fits([first, a]) and (got := pair(gap - a, [first, a])):
-                return got
-        return None
-
     for first in range(capacity, 0, -1):
         while have[first] > 0:
-            got = exact(first)
+            got = index.complement(first, capacity)
             if got is None:
                 break
             use(got)

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
@@ -58,3 +59,22 @@ def test_encoder_is_exact_on_odd_text():
     e = packing.WordEncoder(path, room=50)
     for t in ("It's the DOG's, isn't? #1 3.14", "ÀÉ ﬁń ΑΣ ς", "a b\x1cc d", "<|endoftext|> x<|startoftext|>y", "naïve.,; ééé!!! ñ... “q”", "é! ́ x"):
         assert e(t) == e.whole(t), t
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=14), st.integers(1, 16), st.lists(st.integers(0, 13), max_size=8))
+def test_sum_index_finds_every_complement(lengths, first, gone):
+    """As counts fall, a single, pair or triple is found whenever brute force finds one, and it is one."""
+    have = np.bincount(lengths, minlength=17)
+    index = packing.SumIndex(have)
+    for k in [*gone, None]:
+        for lead in (first, 1, 16):
+            if have[lead]:
+                rest = [x for x in range(1, 17) for _ in range(int(have[x]) - (x == lead))]
+                possible = 16 == lead or any(sum(c) == 16 - lead for n in (1, 2, 3) for c in combinations(rest, n))
+                got = index.complement(lead, 16)
+                assert (got is not None) == possible
+                if got:
+                    assert got[0] == lead and sum(got) == 16 and index.fits(got)
+        if k is not None and k < len(lengths) and have[lengths[k]]:
+            have[lengths[k]] -= 1
