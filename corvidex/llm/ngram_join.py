@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from corvidex.llm.names import quoted, unused
 from corvidex.operators.graph import connected_components
-from corvidex.plans.shared import BROADCAST_ROWS, arrow_batches, as_text, dropped, join_small, written
+from corvidex.plans.shared import arrow_batches, as_text, checked, dropped, join_small, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -260,7 +260,7 @@ def links(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame | None:
         """(digest, s) of the sets in the pairs, from the texts of one document each; sets carry their own digest, so rows that repeat an id can't be taken for each other."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         reps = written(wanted.join(involved, "digest").select("rep").distinct(), "reps")
-        picked = docs.join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        picked = docs.join(checked(reps), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         return written(shingle_arrays(picked, join), "sets")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,8 +336,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # an id of one row tells which row to drop; rows with a repeated or null id are told apart by their set
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(lost)).distinct(), "gone")
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(twice)), "again")
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.where(own.isNotNull()).join(F.broadcast(gone) if few else gone, own == F.col(lost), "left_anti")
+    kept = docs.where(own.isNotNull()).join(checked(gone), own == F.col(lost), "left_anti")
     repeated, nameless = not again.isEmpty(), not found.where("doc_id is null").isEmpty()
     unclear = docs.where(own.isNull())
     if repeated:

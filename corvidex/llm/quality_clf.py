@@ -47,7 +47,7 @@ class Hasher:
         shape = w
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
-        return zlib.crc32(w.lower().encode()), zlib.crc32(shape[:12].encode(), 7)
+        return zlib.crc32(w.lower().encode()), zlib.crc32(shape.encode(), 7)
 
     def cells(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Cells and weights of unit length."""

@@ -1,10 +1,11 @@
 """SimHash fingerprints and their search by permuted block tables; DataFrame operations only.
 
 Fingerprint: every word votes with the bits of its 64-bit hash, weighted by the
-square of its length (long words tell texts apart, short ones are everywhere); a
-bit is set where the weighted votes for it outweigh those against. Votes are added
-in 32 sums of two 32-bit lanes each, inside generated code, over rows that are
-already together by document, so no vote crosses the network.
+square of its length (long words tell texts apart, short ones are everywhere), words of
+``LONG`` letters or more alike; a bit is set where the weighted votes for it outweigh
+those against. Votes are added in 32 sums of two 32-bit lanes each, inside generated
+code, over rows that are already together by document, so no vote crosses the network.
+Lanes hold the votes of ``PART`` words; the parts of longer texts are added up after.
 
 Search: the 64 bits fall into 6 blocks; two fingerprints within 3 bits agree on at
 least 3 blocks, so one table for each of the 20 choices of 3 blocks (a key of 31 to
@@ -29,6 +30,7 @@ from corvidex.plans.shared import as_text, written
 
 BITS = 64
 LANE = 4294967297  # bits 0 and 32
+LONG, PART = 16, 1 << 23  # LONG ** 2 * PART stays below 2 ** 32
 BLOCKS = (11, 11, 11, 11, 10, 10)
 RADIUS = 3
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -36,15 +38,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 def votes(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
     """keys, fp: the fingerprint of the words of each key. ``rows`` must lie together by ``keys`` for this not to shuffle."""
-    n = F.least(F.length("w"), F.lit(16))
-    said = rows.select(*keys, F.explode(words).alias("w")).select(*keys, F.xxhash64("w").alias("h"), (n * n).cast("long").alias("v"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANE)) * F.col("v")).alias(f"s{j}") for j in range(32)]
-    total = said.groupBy(*keys).agg(F.sum("v").alias("all"), *sums)
+    n = F.least(F.length("w"), F.lit(LONG))
+    said = rows.select(*keys, F.posexplode(words).alias("at", "w")).select(*keys, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("w").alias("h"), (n * n).cast("long").alias("v"))
+    lanes = said.groupBy(*keys, "part").agg(F.sum("v").alias("all"), *(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANE)) * F.col("v")).alias(f"s{j}") for j in range(32)))
+    low = [F.sum(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"b{j}") for j in range(32)]
+    high = [F.sum(F.shiftrightunsigned(f"s{j}", 32)).alias(f"b{j + 32}") for j in range(32)]
+    total = lanes.groupBy(*keys).agg(F.sum("all").alias("all"), *low, *high)
     bit = F.lit(0).cast("long")
-    for j in range(32):
-        low, high = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{j}", 32)
-        bit = bit.bitwiseOR(F.when(2 * low > F.col("all"), F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-        bit = bit.bitwiseOR(F.shiftleft(F.when(2 * high > F.col("all"), F.lit(1)).otherwise(F.lit(0)).cast("long"), 32 + j))
+    for j in range(BITS):
+        bit = bit.bitwiseOR(F.shiftleft(F.when(2 * F.col(f"b{j}") > F.col("all"), F.lit(1)).otherwise(F.lit(0)).cast("long"), j))
     return total.select(*keys, bit.alias("fp"))
 
 

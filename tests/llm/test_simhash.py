@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from corvidex.llm import simhash
@@ -64,3 +66,26 @@ def test_block_tables_find_every_pair(spark):
     got = [(x.fp, x.other) for x in simhash.near(df.where(F.col("fp") % 3 == 0), df).collect()]
     want = {(signed(a), signed(b)) for a in fps if signed(a) % 3 == 0 for b in fps if a != b and (a ^ b).bit_count() <= 3}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def voted(text):
+    """The fingerprint by plain sums over the words."""
+    votes = [0] * 64
+    for w in re.split(r"[\x20\x09-\x0D]+", text.lower()):
+        h, n = xxhash.xxh64_intdigest(w.encode(), 42), min(len(w), simhash.LONG) ** 2
+        for j in range(64):
+            votes[j] += n if h >> j & 1 else -n
+    return sum(1 << j for j in range(64) if votes[j] > 0)
+
+
+def test_votes_against_plain_sums(spark, sf, monkeypatch):
+    """Whole and edited texts; then in parts of four words, as texts beyond the lanes' room are added up."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text rlike '^[\\\\x00-\\\\x7f]*$'").orderBy("doc_id").limit(150).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**9, ""), (10**9 + 1, " x  yy\n"), (10**9 + 2, "w" * 40 + " " + "v" * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    edited = edit([t for _, t in rows])
+    for part in (simhash.PART, 4):
+        monkeypatch.setattr(simhash, "PART", part)
+        got = {r.doc_id: r for r in simhash.fingerprints(df).collect()}
+        for (i, t), e in zip(rows, edited, strict=True):
+            assert got[i].fp % 2**64 == voted(t) and got[i].edited_fp % 2**64 == voted(e)
