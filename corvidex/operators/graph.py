@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvidex.plans.shared import dropped, written
@@ -69,6 +69,41 @@ def connected_values(rows: DataFrame, item: str, value: str, top: int = 10, *, w
     return lists.orderBy(F.desc("n"), "value")
 
 
+def dealt_batches(groups: DataFrame, group: str, size: str, batch: int) -> DataFrame:
+    """(group, size) -> group, size, batch, from, to: as :func:`packed_batches`, for any number of groups.
+
+    Groups of one size are interchangeable, so the plan is made on the histogram of sizes up to
+    ``batch`` (one pass over it on the driver) and each group finds its place by its rank within
+    its size: its place in its range partition plus the counts of the partitions before.
+    """
+    rows = groups.select(F.col(group).alias("group"), F.col(size).cast("long").alias("size")).where("size > 0")
+    parted = written(rows.repartitionByRange(F.desc("size"), F.col("group")).withColumn("part", F.spark_partition_id()), "sizes")
+    large = parted.where(F.col("size") > batch)
+    counts = sorted(((r["size"], r["part"], r["n"]) for r in parted.where(F.col("size") <= batch).groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda r: (-r[0], r[1]))
+    before: dict[int, int] = {}
+    shifts = []
+    for n, part, k in counts:
+        shifts.append((n, part, before.get(n, 0)))
+        before[n] = before.get(n, 0) + k
+    starts, at, used = [], 0, 0
+    for n in sorted(before, reverse=True):  # first: how many still go into the open batch, each: how many into a new one
+        first, each = (batch - used) // n, batch // n
+        starts.append((n, at, first, each))
+        rest = before[n] - first
+        at, used = (at, used + n * before[n]) if rest <= 0 else (at + -(-rest // each), n * (rest - (-(-rest // each) - 1) * each))
+    spark = groups.sparkSession
+    rank = F.row_number().over(Window.partitionBy("size", "part").orderBy("group")) - 1
+    ranked = parted.where(F.col("size") <= batch).withColumn("rank", rank)
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(shifts, "size long, part int, shift long")), ["size", "part"]).join(F.broadcast(spark.createDataFrame(starts, "size long, at long, first long, each long")), "size")
+    nth = F.col("rank") + F.col("shift")
+    number = F.when(nth < F.col("first"), F.col("at")).otherwise(F.col("at") + 1 + F.floor((nth - F.col("first")) / F.col("each")))
+    small = ranked.select("group", "size", number.cast("long").alias("batch"), F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))
+    # a group larger than a batch has batches of its own, numbered from -1 down
+    cut = large.select("group", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(batch).cast("long"))).alias("from"))
+    own = cut.withColumn("batch", -1 - (F.xxhash64("group", "from").bitwiseAND(F.lit((1 << 62) - 1)))).withColumn("to", F.least(F.col("from") + batch, F.col("size")))
+    return small.unionByName(own.select("group", "size", "batch", "from", "to"))
+
+
 def packed_batches(sizes: list[tuple[object, int]], batch: int) -> list[list[tuple[object, int, int]]]:
     """Groups (name, size) into batches of ``batch`` items: largest first, a group larger than a batch split, else never; (name, from, to)."""
     out: list[list[tuple[object, int, int]]] = []

@@ -129,3 +129,13 @@ def item_comments(comments: DataFrame, key: str) -> DataFrame:
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One column json: a row as a JSON object with all its fields."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def any_key(df: DataFrame, key: str = "issue_key") -> DataFrame:
+    """One row: a key of the table, the smallest, so that reruns agree."""
+    return df.agg(F.min(key).alias(key))

@@ -91,3 +91,11 @@ def with_comment_text(issues: DataFrame, comments: DataFrame, order: Column) ->
 def document_text(parts: list[Column]) -> Column:
     """Non-blank parts joined by one space; kept parts aren't trimmed."""
     return F.concat_ws(" ", *(F.when(F.trim(p) != "", p) for p in parts))
+
+
+def processor_text(issues: DataFrame, attributes: DataFrame, columns: list[str]) -> DataFrame:
+    """issue_key, text: the named columns of an issue and every one of its attribute values, the non-blank ones joined by one space."""
+    values = attributes.where(F.trim("field_value") != "").groupBy("issue_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("field_name", "field_value"))), lambda x: x["field_value"]).alias("values"))
+    own = document_text([F.col(c) for c in columns])
+    rows = issues.join(values, "issue_key", "left")
+    return rows.select("issue_key", F.concat_ws(" ", F.when(own != "", own), F.array_join("values", " ")).alias("text"))

@@ -1,8 +1,7 @@
-"""Registry of the engine's own queries, each with the SQL it must equal.
+"""Registry of the engine's own queries, each with the SQL it must equal where SQL can express it.
 
-Every query runs over its whole tables, but for ``related_groups``, whose recursive SQL sees
-few rows; ``related_groups_all`` is the same search over all of them. Floating results are rounded on both sides,
-ties are broken by keys.
+Every query runs over its whole tables. Floating results are rounded on both sides, ties are
+broken by keys. Derived tables (term counts, keywords, postings) are stored on first use.
 """
 
 from __future__ import annotations
@@ -308,6 +307,21 @@ def document_texts(spark, d):
     return j.select("issue_key", F.md5(up.document_text([F.col("title"), F.col("description"), F.col("comments")])).alias("text_md5"))
 
 
+@query(f"WITH {ISSUES}, {ATTRIBUTES}, v AS (SELECT issue_key, string_agg(field_value, ' ' ORDER BY field_name, field_value) AS v FROM attributes WHERE trim(field_value) <> '' GROUP BY ALL) SELECT issue_key, md5(concat_ws(' ', CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(description) <> '' THEN description END, v)) AS text_md5 FROM issues LEFT JOIN v USING (issue_key)")
+def processor_texts(spark, d):
+    return up.processor_text(issues(spark, d), attributes(spark, d), ["title", "description"]).select("issue_key", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT to_json({o_orderkey: o_orderkey, o_orderstatus: o_orderstatus, o_orderpriority: o_orderpriority})::VARCHAR AS json FROM orders")
+def json_rows(spark, d):
+    return tools.as_json(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query(f"WITH {KW} SELECT min(issue_key) AS issue_key FROM kw")
+def any_key(spark, d):
+    return tools.any_key(keyword_table(spark, d))
+
+
 # --- full text ------------------------------------------------------------------------------------
 
 FOLD = f"translate(lower({{}}), '{fts._MARKED}', '{fts._PLAIN}')"
@@ -509,6 +523,12 @@ def fallback_token_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens.fallback_tokens(F.col("text"))).cast("long").alias("n"))
 
 
+@query(f"SELECT doc_id, CASE WHEN len({TOKENS}) > 0 THEN len({TOKENS}) ELSE len(list_filter(string_split_regex(lower(text), '{FALLBACK}'), lambda x: length(x) BETWEEN 2 AND 50 AND NOT regexp_full_match(x, '[0-9]+') AND regexp_matches(x, '[a-z0-9]'))) END AS n FROM documents")
+def recovered_token_counts(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.size(tfidf.with_fallback(tokens.plain_tokens(text), tokens.fallback_tokens(text))).cast("long").alias("n"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%W') AS week, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') AS year FROM events")
 def period_labels(spark, d):
     return table(spark, d, "events").select("event_id", *(period(F.col("ts"), u).alias(u) for u in ("day", "week", "month", "year")))
@@ -561,19 +581,28 @@ def week_ranges(spark, d):
 # --- graph ----------------------------------------------------------------------------------------
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS v FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08), p AS (SELECT a AS i, a AS r FROM e UNION SELECT y.a, p.r FROM p JOIN e x ON x.a = p.i JOIN e y ON y.v = x.v) SELECT i AS item, min(r) AS \"group\" FROM p GROUP BY i")
+# No SQL: recursion over all rows is too slow there; tests/test_operators.py compares with a union-find.
+@query()
 def related_groups(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.1 and l_tax = 0.08").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("value"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("value"))
     return graph.groups_by_value(rows, "item", "value")
 
 
-# No SQL: recursion over all rows is too slow there; tests/test_operators.py compares with a union-find.
-@query()
-def related_groups_all(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("value"))
+@query("WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, s_nationkey AS v FROM supplier), p AS (SELECT a AS i, a AS r FROM e UNION SELECT y.a, p.r FROM p JOIN e x ON x.a = p.i JOIN e y ON y.v = x.v) SELECT i AS item, min(r) AS \"group\" FROM p GROUP BY i")
+def supplier_groups(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("value"))
     return graph.groups_by_value(rows, "item", "value")
 
 
+@query("WITH g AS (SELECT l_suppkey AS \"group\", count(*) AS size FROM lineitem GROUP BY 1) SELECT \"group\", size, sum(least(size - o, 500))::BIGINT AS dealt FROM (SELECT \"group\", size, unnest(range(0, size, 500)) AS o FROM g) GROUP BY ALL")
+def batches_of_groups(spark, d):
+    """Every group is dealt whole, in pieces of a batch at most, and no batch holds more than 500 items."""
+    groups = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("size"))
+    dealt = graph.dealt_batches(groups, "l_suppkey", "size", 500)
+    full = dealt.groupBy("batch").agg(F.sum(F.col("to") - F.col("from")).alias("n")).where("n > 500")
+    return dealt.join(full, "batch", "left_anti").groupBy("group", "size").agg(F.sum(F.col("to") - F.col("from")).alias("dealt"))
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 

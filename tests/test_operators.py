@@ -191,7 +191,7 @@ def test_components_match_union_find(spark):
 
 
 def test_registered_component_search_sees_every_row(spark, tmp_path):
-    """A hot value, a chain, singletons and nulls, none of which the filter of related_groups lets in; then a whole table."""
+    """A hot value, a chain, singletons and nulls; then a whole table."""
     pairs = [(i, 1) for i in range(1, 300)] + [(1000 + i, 5000 + i + k) for i in range(40) for k in (0, 1)] + [(3000, 1), (3000, 7), (3001, 7), (4000, 9), (4001, None), (None, 9)]
     spark.createDataFrame(pairs, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     for d in (str(tmp_path), "/root/testdata/sf0.001"):
@@ -209,7 +209,7 @@ def test_registered_component_search_sees_every_row(spark, tmp_path):
                 if r[1] is not None:
                     a, b = root((0, r[0])), root((1, r[1]))
                     up[max(a, b)] = min(a, b)
-        got = queries.QUERIES["related_groups_all"](spark, d).collect()
+        got = queries.QUERIES["related_groups"](spark, d).collect()
         assert sorted((x.item, x.group) for x in got) == sorted((i, root((0, i))[1]) for i in items)
 
 
@@ -218,6 +218,19 @@ def test_packing_of_groups():
     assert out == [[("d", 0, 10)], [("d", 10, 20)], [("d", 20, 23)], [("a", 0, 7), ("b", 0, 3)], [("c", 0, 2)]]
 
 
+def test_dealt_batches_are_the_packed_ones(spark):
+    r = random.Random(3)
+    sizes = [(f"g{i}", r.choice((1, 2, 3, 3, 5, 7, 10, 11, 25))) for i in range(500)]
+    got = graph.dealt_batches(spark.createDataFrame(sizes, "name string, n int"), "name", "n", 10).collect()
+    of = lambda batches: Counter(tuple(sorted(b, reverse=True)) for b in batches)
+    mine = {}
+    for x in got:
+        mine.setdefault(x.batch, []).append(x.to - x["from"])
+    assert of(mine.values()) == of([[to - at for _, at, to in b] for b in graph.packed_batches(sizes, 10)])
+    assert Counter(x.group for x in got if x.size <= 10) == Counter(n for n, k in sizes if k <= 10)
+    assert graph.dealt_batches(spark.createDataFrame([], "name string, n int"), "name", "n", 10).count() == 0
+
+
 def test_rollups(spark):
     ev = spark.createDataFrame([("op1", 500), ("op2", 1200), ("op3", 300), ("op1", 800), ("op4", 6000)], "op string, ms long")
     rows = [(r.op, r.events, r.total, r["mean"], r.longest, r.slow_share) for r in quality.lock_report(ev, "op", "ms", slow=600).collect()]
@@ -248,6 +261,16 @@ def test_retries():
     assert quality.health(3, 100, 11, 5, 10.0) == ["too many timeouts"] and not quality.health(0, 0, 0, 0, 0.0)
 
 
+def test_small_and_empty_corpora(spark, corpus):
+    few = Corpus.of(spark.createDataFrame([("a", "x y"), ("b", "x z")], "id string, text string"), "id", F.split("text", " "))
+    assert {r.term for r in few.pure().collect()} == {"y", "z"} and few.pure_stats().count() == 0
+    one = Corpus.of(spark.createDataFrame([("a", "x y x")], "id string, text string"), "id", F.split("text", " "))
+    assert {(r.term, r.idf) for r in one.pure().collect()} == {("x", 1.0), ("y", 1.0)}
+    none = corpus.keywords(Options(min_df=99))
+    s = keywords.stats(none).first()
+    assert (s.total_keywords, s.avg_keywords_per_issue) == (0, None)
+
+
 def test_methods_and_validation(spark, corpus):
     wide = Options(min_df=1, max_df=1.0)
     assert scores(corpus, "light").count() == scores(corpus, "library", wide).count()
