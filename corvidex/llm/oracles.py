@@ -19,12 +19,15 @@ f AS (
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN ln USING (doc_id) LEFT JOIN cover USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, 100 * n_symbols > 10 * word_chars AS junk FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR junk) AS x FROM b GROUP BY source),
-m AS (SELECT avg(x / n) AS mean, coalesce(var_samp(x / n), 0) AS var, avg(1 / n) AS inv FROM h),
-e AS (SELECT mean, greatest(var - mean * (1 - mean) * inv, 0) AS extra FROM m),
-s AS (SELECT mean, least(greatest(CASE WHEN extra > 0 AND mean > 0 AND mean < 1 THEN mean * (1 - mean) / extra - 1 ELSE 20 END, 1), 10000) AS k FROM e),
-r AS (SELECT source, (x + mean * k) / (n + k) AS rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT junk AND rate <= 0.5 AS kept, round(rate, 9) AS host_rate
+u AS (SELECT source, unnest([{{k: 'short', x: n_words < 20}}, {{k: 'repeat', x: 100 * n_repeat_words > 30 * n_words}}, {{k: 'symbol', x: junk}}, {{k: 'host', x: base_failed OR junk}}]) AS e FROM b),
+h AS (SELECT source, e.k AS rule, count(*) AS n, count(*) FILTER (e.x) AS x FROM u GROUP BY ALL),
+m AS (SELECT rule, avg(x / n) AS mean, coalesce(var_samp(x / n), 0) AS var, avg(1 / n) AS inv FROM h GROUP BY rule),
+e AS (SELECT rule, mean, greatest(var - mean * (1 - mean) * inv, 0) AS extra FROM m),
+s AS (SELECT rule, mean, least(greatest(CASE WHEN extra > 0 AND mean > 0 AND mean < 1 THEN mean * (1 - mean) / extra - 1 ELSE 20 END, 1), 10000) AS k FROM e),
+r AS (SELECT source, max((x + mean * k) / (n + k)) AS worst, any_value((x + mean * k) / (n + k)) FILTER (rule = 'short') AS short_rate, any_value((x + mean * k) / (n + k)) FILTER (rule = 'repeat') AS repeat_rate,
+  any_value((x + mean * k) / (n + k)) FILTER (rule = 'symbol') AS symbol_rate, any_value((x + mean * k) / (n + k)) FILTER (rule = 'host') AS host_rate FROM h JOIN s USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT junk AND worst <= 0.5 AS kept,
+  round(short_rate, 9) AS short_rate, round(repeat_rate, 9) AS repeat_rate, round(symbol_rate, 9) AS symbol_rate, round(host_rate, 9) AS host_rate
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 

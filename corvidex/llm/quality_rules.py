@@ -1,8 +1,8 @@
 """Host-level quality rules.
 
-Every document gets rule figures; rule failures are summed by host; host failure
-rates are shrunk towards an empirical beta prior fitted to all hosts; the host
-verdicts are joined back to the documents.
+Every document gets rule figures; failures are summed by host and rule; each rule's host
+rates are shrunk towards an empirical beta prior fitted to that rule over all hosts; the
+host verdicts are joined back to the documents.
 
 Two passes over the text and no shuffle of it: the first pass sends one partial
 sum a task and host through the exchange, the second computes the figures again
@@ -34,6 +34,7 @@ _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RATES = ("short_rate", "repeat_rate", "symbol_rate", "host_rate")
 _FIGURES = T.StructType([T.StructField(c, T.LongType()) for c in FIGURES])
 
 
@@ -118,39 +119,57 @@ def junk(f: Column, rules: Rules = Rules()) -> Column:
     return 100 * f["n_symbols"] > rules.max_symbol_pct * f["word_chars"]
 
 
+def failures(f: Column, rules: Rules = Rules()) -> dict[str, Column]:
+    """What a document fails, by rule; ``host`` is any of them."""
+    short, repeats = f["n_words"] < rules.min_words, 100 * f["n_repeat_words"] > rules.max_repeat_pct * f["n_words"]
+    return {"short": short, "repeat": repeats, "symbol": junk(f, rules), "host": short | repeats | junk(f, rules)}
+
+
+def prior(mean: float | None, var: float | None, inv: float | None, rules: Rules = Rules()) -> tuple[float, float]:
+    """(mean, strength) of the beta prior by the moments of raw host rates: their mean, variance and the mean of 1 / documents."""
+    mean, var = mean or 0.0, var or 0.0
+    # what binomial sampling alone explains doesn't speak for differing hosts
+    extra = max(var - mean * (1 - mean) * (inv or 0.0), 0.0)
+    strength = mean * (1 - mean) / extra - 1 if extra > 0 and 0 < mean < 1 else rules.default_strength
+    return mean, min(max(strength, 1.0), rules.max_strength)
+
+
 def host_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """host, n_docs, n_failed, rate (shrunk), host_rejected; one row a host, written to the shared folder."""
+    """host, n_docs, short_rate, repeat_rate, symbol_rate, host_rate (any rule), host_rejected; one row a host, written to the shared folder.
+
+    Every rule has its own rates, prior and shrinkage; a host is rejected if one of its shrunk rates is above the limit.
+    """
     f = F.col("f")
+    names = list(failures(f, rules))
     hosts = written(
         docs.select(F.col(quoted(host)).alias("host"), rule_figures(as_text(F.col(quoted(text)))).alias("f"))
         .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.count_if(base_failed(f, rules) | junk(f, rules)), F.lit(0)).alias("n_failed")),
+        .agg(F.count(F.lit(1)).alias("n_docs"), *(F.coalesce(F.count_if(c), F.lit(0)).alias(f"n_{k}") for k, c in failures(f, rules).items())),
         "hosts",
     )
     # moments of the raw rates over hosts, each host weighing alike
-    rate = F.col("n_failed") / F.col("n_docs")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
-    mean, var = m["mean"] or 0.0, m["var"] or 0.0
-    # what binomial sampling alone explains doesn't speak for differing hosts
-    extra = max(var - mean * (1 - mean) * (m["inv"] or 0.0), 0.0)
-    strength = mean * (1 - mean) / extra - 1 if extra > 0 and 0 < mean < 1 else rules.default_strength
-    strength = min(max(strength, 1.0), rules.max_strength)
-    shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    out = written(hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > rules.max_host_rate), "verdicts")
+    raw = {k: F.col(f"n_{k}") / F.col("n_docs") for k in names}
+    m = hosts.agg(F.avg(1 / F.col("n_docs")).alias("inv"), *(F.avg(c).alias(f"mean_{k}") for k, c in raw.items()), *(F.var_samp(c).alias(f"var_{k}") for k, c in raw.items())).first()
+    rates = []
+    for k in names:
+        mean, strength = prior(m[f"mean_{k}"], m[f"var_{k}"], m["inv"], rules)
+        rates.append(((F.col(f"n_{k}") + mean * strength) / (F.col("n_docs") + strength)).alias(f"{k}_rate"))
+    shrunk = hosts.select("host", "n_docs", *rates)
+    out = written(shrunk.withColumn("host_rejected", F.greatest(*(F.col(f"{k}_rate") for k in names)) > rules.max_host_rate), "verdicts")
     dropped(hosts)
     return out
 
 
 def _judged(docs: DataFrame, text: str, host: str, rules: Rules) -> tuple[DataFrame, Column, Column, Column]:
-    """docs with columns of our own, and those: the figures, the host's rate, the verdict. No shuffle of the documents."""
+    """docs with columns of our own, and those: the figures, the host's rates, the verdict. No shuffle of the documents."""
     arrow_batches(docs.sparkSession)
-    name, figures, rate, rejected = unused(docs, "host", "figures", "rate", "rejected")
-    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias(name), F.col("host_rate").alias(rate), F.col("host_rejected").alias(rejected))
+    name, figures, rates, rejected = unused(docs, "host", "figures", "rates", "rejected")
+    verdicts = host_verdicts(docs, text=text, host=host, rules=rules).select(F.struct(F.col("host").alias("h")).alias(name), F.struct(*RATES).alias(rates), F.col("host_rejected").alias(rejected))
     # a struct key makes null hosts equal in an ordinary equi-join
     rows = docs.withColumn(name, F.struct(F.col(quoted(host)).alias("h"))).withColumn(figures, rule_figures(as_text(F.col(quoted(text)))))
     f = F.col(figures)
     ok = ~base_failed(f, rules) & ~junk(f, rules) & ~F.coalesce(F.col(rejected), F.lit(False))
-    return join_small(rows, verdicts, [name], "left"), f, F.col(rate), ok
+    return join_small(rows, verdicts, [name], "left"), f, F.col(rates), ok
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -160,17 +179,17 @@ def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", rule
 
 
 def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the five figures, base_failed, host_rate and kept; columns of these names in the input give way to them.
+    """``docs`` with the five figures, base_failed, kept and the host's four rates; columns of these names in the input give way to them.
 
-    kept is false if a base rule fails, the text is symbol debris, or the host's
-    shrunk failure rate is above the limit.
+    kept is false if a base rule fails, the text is symbol debris, or one of the host's
+    shrunk failure rates is above the limit.
     """
-    ours = [*FIGURES, "base_failed", "kept", "host_rate"]
-    rows, f, rate, ok = _judged(docs, text, host, rules)
+    ours = [*FIGURES, "base_failed", "kept", *RATES]
+    rows, f, rates, ok = _judged(docs, text, host, rules)
     return rows.select(
         *(F.col(quoted(c)) for c in docs.columns if c.lower() not in ours),
         *(f[c].alias(c) for c in FIGURES),
         base_failed(f, rules).alias("base_failed"),
         ok.alias("kept"),
-        rate.alias("host_rate"),
+        *(rates[c].alias(c) for c in RATES),
     )

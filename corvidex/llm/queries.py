@@ -30,7 +30,7 @@ def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(c, 9).alias(c) for c in quality_rules.RATES)
     )
 
 

@@ -40,5 +40,20 @@ def test_bad_host_goes_and_small_host_is_shrunk(spark):
     assert all(out[i].kept for i in range(400))
 
 
+def test_every_rule_has_its_own_rates(spark):
+    """Rates by plain sums: a host that fails only by symbols has a high rate there and nowhere else."""
+    good = "plain words that say a little more than twenty words do when one counts them all again and then some more of it"
+    rows = [(i, good, f"h{i % 8}") for i in range(200)] + [(300 + i, "x", "h1") for i in range(9)] + [(400 + i, (good + " ") * 3, "h2") for i in range(12)] + [(500 + i, good + " ####" * 9, "h3") for i in range(90)]
+    got = {r.host: r for r in qr.host_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    flags = [(h, *((f := brute(t))[0] < 20, 100 * f[4] > 30 * f[0], 100 * f[2] > 10 * f[1])) for _, t, h in rows]
+    for k, name in enumerate(qr.RATES):
+        n, x = Counter(h for h, *_ in flags), Counter(h for h, *v in flags if (any(v) if k == 3 else v[k]))
+        raw = [x[h] / n[h] for h in n]
+        mean = sum(raw) / len(raw)
+        a, b = qr.prior(mean, sum((v - mean) ** 2 for v in raw) / (len(raw) - 1), sum(1 / v for v in n.values()) / len(n))
+        assert all(abs(got[h][name] - (x[h] + a * b) / (n[h] + b)) < 1e-9 for h in n), name
+    assert [h for h in got if got[h].host_rejected] == ["h3"] and got["h3"].symbol_rate > 0.5 > got["h3"].repeat_rate
+
+
 def test_empty(none):
     assert qr.quality_rules(none).count() == 0
