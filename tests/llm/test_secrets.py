@@ -183,3 +183,22 @@ def test_own_names_of_the_input_stay(spark):
     row = secrets.redacted(docs).first()
     assert row.text == "[SECRET]" and list(row[2:]) == names
     assert secrets.scan(docs).count() == 1
+
+
+def test_redaction_follows_all_spans(spark, sf, odd):
+    """Every span of the scan, base and added, becomes one mark; what lies between stays, whatever overlaps."""
+    r = random.Random(8)
+    more = [(2 * 10**9 + i, f"see {key(r, 'base64', 40)} é token={key(r, 'base62', 30)} 😀 {key(r, 'uuid', 32)} AKIA{'Q' * 20}", "en", "s", None) for i in range(40)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id") + 10**10, "text", "lang", "source", "n_chars").toDF(*docs.columns))
+    found = {x.doc_id: sorted((a.s, a.e) for k in secrets.KINDS for a in x[k]) for x in secrets.scan(docs).collect()}
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    assert sum(len(v) for v in found.values()) > 100
+    for x in secrets.redacted(docs).collect():
+        at, out = 0, ""
+        for s, e in found[x.doc_id]:
+            if s >= at:
+                out += texts[x.doc_id][at:s] + "[SECRET]"
+            at = max(at, e)
+        want = None if texts[x.doc_id] is None else out + texts[x.doc_id][at:]
+        assert x.text == want and (not found[x.doc_id] or x.n_chars == len(want))
