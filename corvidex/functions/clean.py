@@ -59,6 +59,7 @@ def url_stem(url: Column) -> Column:
 
 def malformations(value: Column) -> Column:
     """Names of what is wrong with a delimited value, in fixed order."""
+    # The names and their order.
     tests = (
         ("double commas", value.contains(",,")),
         ("leading comma", value.startswith(",")),
@@ -95,6 +96,7 @@ def clean_page(v: Column) -> Column:
 class ListRules:
     """Bounds of delimited values."""
 
+    # The bounds.
     max_field: int = 50_000
     max_values: int = 1_000
     max_value: int = 2_000
