@@ -12,6 +12,9 @@ tokens (:func:`trees`). :func:`apply_edits` restores each tree from those, witho
 or encoding the text again, applies the row's edits and gives the table's new rows, from
 which later edits go on. A block that grows beyond four times its size is split.
 
+A worker's memory: the pre-tokens of a long text are counted slice by slice, and what
+is remembered of earlier ones is bounded by number and by characters.
+
 Defined cases: null and empty texts have no tokens; edits beyond the end are cut to
 it; a null list of edits has none; rows are independent, so repeated rows, null ids and
 ties don't matter; columns named like a result give way to it.
@@ -21,6 +24,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +39,15 @@ from corvidex.llm.names import quoted, unused
 from corvidex.plans.shared import arrow_batches, as_text, written
 
 BLOCK = 64
+# Pre-tokens of a long text that are held as strings at once.
+SLICE = 1 << 17
 # The pre-token pattern over Latin-1, with its classes spelled out; other texts take the full one.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Counter:
-    """Pre-tokens and their token counts; counts are remembered up to ``room`` pre-tokens."""
+    """Pre-tokens and their token counts; counts are remembered up to ``room`` pre-tokens of 16 characters on average."""
 
     def __init__(self, path: str, room: int = 400_000):
         import public_tokenizers
@@ -48,7 +56,7 @@ class Counter:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full, self.room, self.known = regex.compile(public_tokenizers.PATTERN), room, {}
+        self.full, self.room, self.known, self.held = regex.compile(public_tokenizers.PATTERN), room, {}, 0
 
     def pattern(self, text: str):
         if text.isascii():
@@ -63,11 +71,31 @@ class Counter:
         known = self.known
         for p in set(pieces).difference(known):
             known[p] = len(self.enc.encode_ordinary(p))
+            self.held += len(p)
         out = [known[p] for p in pieces]
-        if len(known) > self.room:
+        if len(known) > self.room or self.held > 16 * self.room:
             known.clear()
+            self.held = 0
         return out
 
+    def slices(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, at most SLICE of them at once."""
+        pattern = self.pattern(text)
+        if len(text) <= SLICE:
+            yield pattern.findall(text)
+            return
+        found = pattern.finditer(text)
+        while pieces := [m[0] for m in islice(found, SLICE)]:
+            yield pieces
+
+    def split(self, text: str) -> tuple[array, array]:
+        """Characters and tokens of every pre-token."""
+        lengths, counts = array("i"), array("i")
+        for pieces in self.slices(text):
+            lengths.extend(map(len, pieces))
+            counts.extend(self.counts(pieces))
+        return lengths, counts
+
 
 class Tree:
     """A text, its pre-token blocks and a segment tree of (characters, tokens) over the blocks."""
@@ -80,8 +108,8 @@ class Tree:
 
     @classmethod
     def of(cls, text: str, counter: Counter) -> Tree:
-        pieces = counter.pattern(text).findall(text)
-        return cls(text, counter, list(map(len, pieces)), counter.counts(pieces))
+        lengths, counts = counter.split(text)
+        return cls(text, counter, lengths.tolist(), counts.tolist())
 
     def build(self) -> None:
         """The sums of all nodes from the blocks."""
@@ -179,7 +207,7 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def packed(values: list[int]) -> bytes:
+def packed(values: list[int] | array) -> bytes:
     """One byte a value where they fit, else four; the first byte tells."""
     x = np.array(values, dtype=np.int32)
     return b"\x01" + x.astype(np.uint8).tobytes() if not len(x) or x.max() < 256 else b"\x04" + x.tobytes()
@@ -209,9 +237,8 @@ def trees(docs: DataFrame, *, path: str | None = None, text: str = "text") -> Da
     def run(text: pa.Array) -> pa.Array:
         rows = []
         for t in text.to_pylist():
-            tree = Tree.of(t, counter(path))
-            x, y = tree.lists()
-            rows.append((packed(x), packed(y), tree.tokens, len(x)))
+            x, y = counter(path).split(t)
+            rows.append((packed(x), packed(y), sum(y), len(x)))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _TREE.names)
 

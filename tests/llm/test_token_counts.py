@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +35,39 @@ def test_edits_equal_a_recount(text, edits):
         tc.BLOCK = old
 
 
+@settings(max_examples=100, deadline=None)
+@given(ALPHABET.map(lambda t: t * 3))
+def test_slices_are_the_whole_split(text):
+    old, tc.SLICE = tc.SLICE, 4
+    try:
+        assert sum(C.slices(text), []) == C.pattern(text).findall(text) and max(map(len, C.slices(text)), default=0) <= 4
+        lengths, counts = C.split(text)
+        assert sum(lengths) == len(text) and sum(counts) == len(C.enc.encode_ordinary(text))
+    finally:
+        tc.SLICE = old
+
+
+def test_long_pre_tokens_are_not_kept_without_bound():
+    c, r = tc.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), room=1000), random.Random(1)
+    for _ in range(20):
+        pieces = ["".join(r.choices("abcdefgh", k=2000)) for _ in range(10)]
+        assert c.counts(pieces) == [len(c.enc.encode_ordinary(p)) for p in pieces]
+        assert sum(map(len, c.known)) <= 16 * 1000 + 10 * 2000
+
+
+def test_a_long_text_is_counted_in_little_memory():
+    """Below 20 bytes a character besides the text: its pre-tokens as strings at once take more."""
+    text = " ".join(str(k % 5000) + "ab"[k % 2] for k in range(500_000))
+    tc.Tree.of(text[:1000], C)
+    tracemalloc.start()
+    try:
+        tree = tc.Tree.of(text, C)
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(text)
+    finally:
+        tracemalloc.stop()
+    assert tree.tokens == len(C.enc.encode_ordinary(text))
+
+
 def changed(t):
     """A text after the sample edits."""
     n = len(t)
