@@ -88,8 +88,8 @@ def clean_artifact(v: Column) -> Column:
 
 def clean_page(v: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(v, r"[\r\n\t]", " "), r"\s+", " ")
-    v = F.trim(F.regexp_replace(v, r"[<>\"']", ""))
-    return F.regexp_replace(v, r"[\x00-\x1F\x7F-\x9F]", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"[<>\"']", ""), r"[\x00-\x1F\x7F-\x9F]", "")
+    return F.trim(F.regexp_replace(v, " +", " "))
 
 
 @dataclass(frozen=True)

@@ -96,3 +96,9 @@ def test_dates(spark):
 def test_sanitize_is_idempotent(spark, values):
     once = column(spark, values, lambda c: F.array_join(clean.sanitize_list(c, "related_pages"), ","))
     assert column(spark, once, lambda c: F.array_join(clean.sanitize_list(c, "related_pages"), ",")) == once
+
+
+def test_pages_have_single_blanks_where_marks_were(spark):
+    values = ["\\ < \\", "a \" ' b", "a \x80 b", "\x80 a \x7f", "< >"]
+    once = column(spark, values, lambda c: clean.sanitize_list(c, "related_pages"))
+    assert once == [["\\ \\"], ["a b"], ["a b"], ["a"], []]
