@@ -41,7 +41,7 @@ def trends(keywords: DataFrame, issues: DataFrame, word: str, unit: str = "month
 def project_keywords(keywords: DataFrame, issues: DataFrame, project: str, limit: int = 20) -> DataFrame:
     own = issues.where(F.col("project_key") == project).select("issue_key")
     out = keywords.join(own, "issue_key").groupBy("keyword").agg(F.count_distinct("issue_key").alias("issue_count"), F.avg("tfidf_score").alias("avg_score"), F.sum("tfidf_score").alias("total_score"))
-    return out.orderBy(F.desc("issue_count"), F.desc("total_score"), "keyword").limit(limit)
+    return out.orderBy(F.desc("issue_count"), F.desc(F.round("total_score", 9)), "keyword").limit(limit)
 
 
 def top_keywords(keywords: DataFrame, limit: int = 20) -> DataFrame:
@@ -68,7 +68,7 @@ def stats(keywords: DataFrame) -> DataFrame:
 
 def top_by_score(keywords: DataFrame, min_issues: int = 5, limit: int = 10) -> DataFrame:
     out = keywords.groupBy("keyword").agg(F.avg("tfidf_score").alias("avg_score"), F.count_distinct("issue_key").alias("issue_count"))
-    return out.where(F.col("issue_count") >= min_issues).orderBy(F.desc("avg_score"), "keyword").limit(limit)
+    return out.where(F.col("issue_count") >= min_issues).orderBy(F.desc(F.round("avg_score", 9)), "keyword").limit(limit)
 
 
 def visualization(keywords: DataFrame, limit: int = 100) -> DataFrame:

@@ -144,18 +144,27 @@ def best(scored: DataFrame, top: int | None) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
 
 
+def _cosines(vectors: DataFrame, source, doc: str = "doc", term: str = "term", weight: str = "w") -> DataFrame:
+    """doc, dot (null where no term is shared), similarity of every other document to ``source``, in one pass over the vectors."""
+    w = F.col(weight)
+    mine = written(vectors.where(F.col(doc) == source).groupBy(term).agg(F.sum(w).alias("mine")), "mine")
+    norm = F.lit(mine.agg(F.sqrt(F.sum(F.col("mine") * F.col("mine"))).alias("n")).first()["n"] or 0.0)
+    sums = vectors.where(F.col(doc) != source).join(checked(mine), term, "left").groupBy(doc).agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * F.col("mine")).alias("dot"))
+    return sums.select(doc, "dot", F.coalesce(F.try_divide("dot", F.col("norm") * norm), F.lit(0.0)).alias("similarity"))
+
+
 def cosine_to(vectors: DataFrame, source, *, doc: str = "doc", term: str = "term", weight: str = "w") -> DataFrame:
-    """doc, similarity of every other document to ``source``: a join on the source's terms only, 0 where none is shared."""
-    norms = vectors.groupBy(doc).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
-    mine = vectors.where(F.col(doc) == source).select(term, F.col(weight).alias("mine"))
-    norm = F.lit(norms.where(F.col(doc) == source).agg(F.max("norm").alias("n")).first()["n"] or 0.0)
-    dots = vectors.join(mine, term).groupBy(doc).agg(F.sum(F.col(weight) * F.col("mine")).alias("dot"))
-    return norms.where(F.col(doc) != source).join(dots, doc, "left").select(doc, F.coalesce(F.try_divide("dot", F.col("norm") * norm), F.lit(0.0)).alias("similarity"))
+    """doc, similarity of every other document to ``source``, 0 where no term is shared."""
+    return _cosines(vectors, source, doc, term, weight).select(doc, "similarity")
 
 
 def similar(vectors: DataFrame, source, top: int = 5) -> DataFrame:
-    """The ``top`` documents nearest to ``source``, ties by id."""
-    return cosine_to(vectors, source).orderBy(F.desc("similarity"), "doc").limit(top)
+    """The ``top`` documents nearest to ``source`` of those that share a term with it.
+
+    Ties go by id; similarities that differ by no more than the order of their sums (those of copies) are ties.
+    """
+    near = _cosines(vectors, source).where(F.col("dot").isNotNull()).select("doc", "similarity")
+    return near.orderBy(F.desc(F.round("similarity", 9)), "doc").limit(top)
 
 
 def cosine(vectors: DataFrame, a, b) -> DataFrame:

@@ -302,6 +302,17 @@ def test_options_and_methods(spark, corpus):
     assert [r.doc for r in tfidf.similar(v, "doc1", 2).collect()][0] in ("doc2", "doc3")
 
 
+def test_near_ties_go_by_id(spark):
+    """Likenesses that differ in their last bits only are ties, as in the SQL; a document that shares no term is not near."""
+    turned = [(4, "a", 0.3), (4, "b", 0.4), (4, "c", 0.1), (2, "a", 0.3), (2, "b", 0.4), (2, "c", 0.1 + 1e-15), (9, "z", 1.0)]
+    v = spark.createDataFrame([(1, "a", 0.3), (1, "b", 0.4), (1, "c", 0.1 - 3e-15), *turned], "doc int, term string, w double")
+    assert [r.doc for r in tfidf.similar(v, 1, 5).collect()] == [2, 4]
+    kw = spark.createDataFrame([("i", "b", 1.0), ("i", "a", 1.0 - 2e-15), ("j", "c", 0.5)], "issue_key string, keyword string, tfidf_score double")
+    own = spark.createDataFrame([("i", "p"), ("j", "p")], "issue_key string, project_key string")
+    assert [r.keyword for r in keywords.project_keywords(kw, own, "p").collect()] == ["a", "b", "c"]
+    assert [r.keyword for r in keywords.top_by_score(kw, min_issues=1).collect()] == ["a", "b", "c"]
+
+
 def test_items_without_a_key_leave_nothing_behind(spark, tmp_path):
     drop(tmp_path / "in", "a.xml", ("one", 1, "7"))
     (tmp_path / "in" / "b.xml").write_text(XML.format(items=ITEM.format(t="x", n=9, w=1).replace("K-9", "")))
