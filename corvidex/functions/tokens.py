@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.functions.clean import clean_text
+from corvidex.functions.clean import MARKS, clean_text
 from corvidex.functions.terms import CAPITALS, OPERATIONS
 from corvidex.plans.shared import checked, written
 
@@ -25,17 +25,37 @@ LINK_WORDS = ("http", "https", "www", "com", "org", "net")
 SUFFIXES = ("ing", "ed", "er", "est", "ly", "ion", "tion", "ation", "ness", "ment")
 
 
+#: Runs of anything but lower-case ASCII letters, digits and underscores: ``[^a-z0-9_]+``, said as ranges for speed.
+NO_WORD = r"[\x00-/:-\x5E`{-\x{10FFFF}]+"
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda t: t != "")
 
 
 def plain_tokens(text: Column, min_length: int = 2, max_length: int = 30, stop: list[str] = STOP_WORDS) -> Column:
     """Blank-separated tokens of letters, digits, dash, underscore and dot; no pure numbers, no stop words."""
-    marks = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w\s\-_.]", " ")
+    marks = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " ")
     return F.filter(F.split(marks, r"\s+"), lambda t: F.length(t).between(min_length, max_length) & ~t.rlike(r"^\d+$") & ~t.isin(*stop))
 
 
+def counted(tokens: Column) -> Column:
+    """Array of (term, tf, len) of an array of tokens: how often each occurs, and how many tokens there are. Runs of the sorted array, so no shuffle."""
+
+    def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f(value), with the value computed once however often f names it."""
+        return F.transform(F.array(value), f)[0]
+
+    def runs(x: Column) -> Column:
+        n = F.size(x)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.get(x, i).eqNullSafe(F.get(x, i - 1)))
+        run = lambda at: lambda i, k: F.struct(F.get(x, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("tf"), n.cast("long").alias("len"))
+        return F.when(n > 0, bound(starts, lambda at: F.transform(at, run(at))))
+
+    return bound(F.sort_array(tokens), runs)
+
+
 def valid_token(t: Column, min_length: int = 2, max_length: int = 50) -> Column:
     return F.length(t).between(min_length, max_length) & ~t.rlike("^[0-9]+$") & t.rlike("(?i)[a-z0-9]") & ~t.isin(*LINK_WORDS)
 

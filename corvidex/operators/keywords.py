@@ -53,7 +53,7 @@ def cooccurrence(keywords: DataFrame, top: int = 50) -> DataFrame:
     """keyword_a, keyword_b, count of documents with both, over the ``top`` most frequent; pairs within one document only."""
     rank = F.row_number().over(Window.orderBy(F.desc("frequency"), "keyword"))
     ranked = top_keywords(keywords, top).select("keyword", rank.alias("r"))
-    own = keywords.select("issue_key", "keyword").distinct().join(F.broadcast(ranked), "keyword")
+    own = keywords.select("issue_key", "keyword").join(F.broadcast(ranked), "keyword").distinct()
     lists = own.groupBy("issue_key").agg(F.array_sort(F.collect_list(F.struct("r", "keyword"))).alias("k"))  # at most ``top`` a document
     pairs = F.flatten(F.transform("k", lambda a: F.transform(F.filter(F.col("k"), lambda b: b["r"] > a["r"]), lambda b: F.struct(a["keyword"].alias("keyword_a"), b["keyword"].alias("keyword_b")))))
     return lists.select(F.inline(pairs)).groupBy("keyword_a", "keyword_b").agg(F.count(F.lit(1)).alias("count"))

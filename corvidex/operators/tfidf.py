@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvidex.functions.tokens import counted
 from corvidex.operators.upsert import first_rows
-from corvidex.plans.shared import checked, written
+from corvidex.plans.shared import BROADCAST_BYTES, BROADCAST_ROWS, checked, shares, written
 
 
 @dataclass(frozen=True)
@@ -52,29 +53,70 @@ def first_of_each(docs: DataFrame, doc: str, order: Column) -> DataFrame:
     return single.unionByName(first_rows(rows.join(side, F.col(doc) == F.col("again"), "left_semi"), [doc], [order]))
 
 
-def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf; the first of the documents of an id counts. Counted per document in the scan's task first; one shuffle of distinct terms."""
+def term_rows(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """doc, term, tf, len (tokens of the document); the first of the documents of an id counts. Counted within the row of a document, without a shuffle."""
     rows = first_of_each(docs, doc, F.xxhash64(F.to_json(F.struct(tokens))))
-    return rows.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(F.col(doc).alias("doc"), F.inline(counted(tokens)))
+
+
+def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """doc, term, tf of :func:`term_rows`."""
+    return term_rows(docs, doc, tokens).drop("len")
 
 
 @dataclass
 class Corpus:
-    """Term counts on disk, read by every statistic; n: documents with a token; terms: (term, df) on disk, where there is such a table."""
+    """Term counts (doc, term, tf, len) on disk, in the order of the documents, read by every statistic; n: documents with a token.
+
+    terms: (term, df) on disk, where there is such a table; size: bytes of the documents, where known.
+    """
 
     tf: DataFrame
     n: int
     terms: DataFrame | None = None
+    size: int = 0
 
     @classmethod
     def of(cls, docs: DataFrame, doc: str, tokens: Column) -> Corpus:
         """Of repeated ids one document counts, documents without tokens none."""
-        tf = written(term_counts(docs, doc, tokens), "tf")
+        tf = written(term_rows(docs, doc, tokens), "tf")
         return cls(tf, tf.agg(F.count_distinct("doc").alias("n")).first()["n"])
 
     def df(self) -> DataFrame:
         return self.terms if self.terms is not None else self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+    def weighed(self, band: Column | None = None) -> DataFrame:
+        """doc, term, tf, len, df of terms in the band.
+
+        The most frequent terms, which make most of the rows, are broadcast; only the rows of
+        the others are shuffled. Without a table of terms there is one shuffle join.
+        """
+        inside = lambda t: t if band is None else t.where(band)
+        if self.terms is None:
+            return self.tf.join(inside(self.df()), "term")
+        least = self.frequent()
+        often = self.terms.where(F.col("df") >= least)
+        found = self.tf.join(F.broadcast(inside(often)), "term")
+        if least <= 1:
+            return found
+        seldom = self.tf.join(F.broadcast(often.select("term")), "term", "left_anti")
+        others = inside(self.terms.where(F.col("df") < least))
+        spark = self.tf.sparkSession
+        if (n := shares(spark, self.size // 8)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            seldom, others = seldom.repartition(n, "term"), others.repartition(n, "term")
+        return found.unionByName(seldom.join(others, "term"))
+
+    def frequent(self) -> int:
+        """The least df, a power of two, such that the terms from there on may be broadcast: a quarter of the bounds of a broadcast."""
+        level = F.floor(F.log2("df")).cast("int")
+        levels = self.terms.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(16 + F.coalesce(F.octet_length("term"), F.lit(0))).alias("bytes")).collect()
+        rows = size = 0
+        for r in sorted(levels, key=lambda r: -r["level"]):
+            rows, size = rows + r["n"], size + r["bytes"]
+            if rows > BROADCAST_ROWS // 4 or size > BROADCAST_BYTES // 4:
+                return 2 ** (r["level"] + 1)
+        return 1
+
     def band(self, o: Options, lenient: bool = False) -> Column:
         low, high = (1, self.n) if lenient and self.n < 5 else (o.min_df, int(o.max_df * self.n))
         return F.col("df").between(low, high)
@@ -85,16 +127,15 @@ class Corpus:
 
     def keywords(self, o: Options = Options(), top: int | None = None) -> DataFrame:
         """issue_key, keyword, tfidf_score = tf (1 + ln(N / (1 + df))), tf_score = tf, idf_score as in stats; best ``top`` a document."""
-        s = self.tf.join(self.stats(o), F.col("term") == F.col("keyword"))
-        weight = F.col("tf") * (1 + F.log(F.lit(float(self.n)) / (1 + F.col("document_frequency"))))
-        out = s.select(F.col("doc").alias("issue_key"), "keyword", weight.alias("tfidf_score"), F.col("tf").cast("double").alias("tf_score"), "idf_score")
+        weight = F.col("tf") * (1 + F.log(F.lit(float(self.n)) / (1 + F.col("df"))))
+        idf = F.log((self.n + 1.0) / (F.col("df") + 1))
+        out = self.weighed(self.band(o)).select(F.col("doc").alias("issue_key"), F.col("term").alias("keyword"), weight.alias("tfidf_score"), F.col("tf").cast("double").alias("tf_score"), idf.alias("idf_score"))
         return best(out, top)
 
     def pure(self, o: Options = Options(max_df=0.5), top: int | None = None) -> DataFrame:
         """doc, term, tf = count / length, idf (1 for a single document), tfidf > 0."""
-        length = self.tf.groupBy("doc").agg(F.sum("tf").alias("length"))
         idf = F.lit(1.0) if self.n == 1 else F.log((self.n + 1.0) / (F.col("df") + 1))
-        out = self.tf.join(self.df().where(self.band(o, lenient=True)), "term").join(length, "doc").select("doc", "term", (F.col("tf") / F.col("length")).alias("tf"), idf.alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
+        out = self.weighed(self.band(o, lenient=True)).select("doc", "term", (F.col("tf") / F.col("len")).alias("tf"), idf.alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
         out = out.where("tfidf > 0")
         if top is None:
             return out
@@ -108,16 +149,14 @@ class Corpus:
 
     def light(self) -> DataFrame:
         """doc, term, score = count / length * ln(N / df), no filters."""
-        length = self.tf.groupBy("doc").agg(F.sum("tf").alias("length"))
-        return self.tf.join(self.df(), "term").join(length, "doc").select("doc", "term", (F.col("tf") / F.col("length") * F.log(F.lit(float(self.n)) / F.col("df"))).alias("score"))
+        return self.weighed().select("doc", "term", (F.col("tf") / F.col("len") * F.log(F.lit(float(self.n)) / F.col("df"))).alias("score"))
 
     def term_everywhere(self, docs: DataFrame, doc: str, term: str) -> DataFrame:
         """doc, score of one term in every document, 0 where it is absent; unfiltered."""
         hits = self.tf.where(F.col("term") == term)
         n = hits.count()
-        length = self.tf.groupBy("doc").agg(F.sum("tf").alias("length"))
-        score = F.col("tf") / F.col("length") * F.log(F.lit((self.n + 1.0) / (n + 1)))
-        return docs.select(F.col(doc).alias("doc")).join(hits.join(length, "doc").select("doc", score.alias("s")), "doc", "left").select("doc", F.coalesce("s", F.lit(0.0)).alias("score"))
+        score = F.col("tf") / F.col("len") * F.log(F.lit((self.n + 1.0) / (n + 1)))
+        return docs.select(F.col(doc).alias("doc")).join(hits.select("doc", score.alias("s")), "doc", "left").select("doc", F.coalesce("s", F.lit(0.0)).alias("score"))
 
     def document_stats(self) -> DataFrame:
         return self.tf.groupBy("doc").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("unique_terms"), F.max("tf").alias("max_term_frequency"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 #: A table may be broadcast if it has at most this many rows and bytes of values.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Under :func:`dealt`, shuffles have a partition for so many bytes of input at least, and a task of a scan reads so many at most.
+SHARE_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,6 +63,26 @@ def written(df: DataFrame, label: str = "table", *, codec: str | None = None) ->
     return out
 
 
+def shares(spark: SparkSession, size: int) -> int:
+    """Partitions for shuffles of what ``size`` bytes of input make; the session's number where that is larger."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))
+
+
+@contextmanager
+def dealt(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs inside over ``size`` bytes of input is dealt so that a task's share, and with it its memory, stays the same as inputs grow."""
+    most = min(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes(), SHARE_BYTES)
+    put = {"spark.sql.shuffle.partitions": str(shares(spark, size)), "spark.sql.files.maxPartitionBytes": str(most)}
+    before = {k: spark.conf.get(k, None) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that nothing lazy still reads."""
     for df in tables:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.plans.shared import folder, shared_dir
+from corvidex.plans.shared import dealt, folder, shared_dir
 
 # Where a store is looked for when no path is given, in this order.
 FALLBACKS = ("./store", "../store", "./data/store", "../data/store")
@@ -71,19 +71,29 @@ def version_of(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
 
 
+def size_of(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files at the paths."""
+    return sum(fs.getContentSummary(target).getLength() for target, fs in (folder(spark, p) for p in paths))
+
+
 def stored(spark: SparkSession, source: str | list[str], name: str, build: Callable[[], DataFrame], by: list[str]) -> DataFrame:
     """The table ``name`` derived from the files at ``source``: built and written on first use, read from then on.
 
     Rows are range-partitioned and sorted by ``by``, so that lookups by its first
     column skip files and row groups by their statistics, and a frequent value is
-    spread over files. Changed source files give another table.
+    spread over files; without ``by`` they stay where they are made, without a shuffle.
+    The partitions grow in number with the sources, not in size. Changed source files
+    give another table.
     """
     sources = [source] if isinstance(source, str) else source
     path = f"{shared_dir(spark)}/corvidex/store/{'-'.join(version_of(spark, x) for x in sources)}/{name}"
     target, fs = folder(spark, f"{path}/_SUCCESS")
     if not fs.exists(target):
         keys = [F.col(c) for c in by]
-        build().repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+        with dealt(spark, size_of(spark, *sources)):
+            rows = build()
+            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if by else rows
+            rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.parquet(path)
 
 
