@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.plans.shared import checked
+
 # Letters with marks and what they are searched as.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -35,15 +38,46 @@ def fold(word: str) -> str:
     return word.lower().translate(str.maketrans(_MARKED, _PLAIN))
 
 
+def cells(df: DataFrame, doc: str, columns: list[str]) -> DataFrame:
+    """doc, col, t: the terms of a column of a row, in order."""
+    each = F.array(*(F.struct(F.lit(c).alias("col"), terms_of(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("t")) for c in columns))
+    return df.select(F.col(doc).alias("doc"), F.inline(each))
+
+
 def postings(df: DataFrame, doc: str, columns: list[str]) -> DataFrame:
-    cells = F.array(*(F.struct(F.lit(c).alias("col"), terms_of(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("t")) for c in columns))
-    return df.select(F.col(doc).alias("doc"), F.inline(cells)).select("doc", "col", F.posexplode("t").alias("pos", "term"))
+    return cells(df, doc, columns).select("doc", "col", F.posexplode("t").alias("pos", "term"))
 
 
 def lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
 
 
+def cell_lengths(cell: DataFrame) -> DataFrame:
+    """As :func:`lengths` of the postings of :func:`cells`, summed in the task of a document first: its numbers are shuffled, not its postings."""
+    return cell.select("doc", F.size("t").cast("long").alias("n")).where("n > 0").groupBy("doc").agg(F.sum("n").alias("len"))
+
+
+def cell_counts(cell: DataFrame, again: DataFrame) -> DataFrame:
+    """doc, col, n, terms (different ones), pos_sum of the postings of :func:`cells`.
+
+    A document's terms are counted where its cell is; only those of the ids in ``again``, written on
+    disk, which stand in several rows, meet in a shuffle.
+    """
+    n = F.size("t").cast("long")
+    single = cell.join(checked(again), cell["doc"] == F.col("again"), "left_anti").where(n > 0)
+    once = single.select("doc", "col", n.alias("n"), F.size(F.array_distinct("t")).cast("long").alias("terms"), F.expr("size(t) * (size(t) - 1L) div 2").alias("pos_sum"))
+    rows = cell.join(checked(again), cell["doc"] == F.col("again"), "left_semi").select("doc", "col", F.posexplode("t").alias("pos", "term"))
+    return once.unionByName(rows.groupBy("doc", "col").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"), F.sum("pos").alias("pos_sum")))
+
+
+def column_counts(parts: list[DataFrame]) -> DataFrame:
+    """col, n, terms, docs of the postings of the :func:`cells` in ``parts``: documents and terms are counted apart, each summed in the scan's tasks first."""
+    cell = reduce(DataFrame.unionByName, parts).where(F.size("t") > 0)
+    docs = cell.groupBy("col", "doc").agg(F.sum(F.size("t")).alias("n")).groupBy("col").agg(F.sum("n").alias("n"), F.count("doc").alias("docs"))
+    terms = cell.select("col", F.explode("t").alias("term")).distinct().groupBy("col").agg(F.count(F.lit(1)).alias("terms"))
+    return docs.join(terms, "col").select("col", "n", "terms", "docs")
+
+
 @dataclass(frozen=True)
 class Node:
     """op: term, prefix, phrase (words) or and, or, not (parts)."""
@@ -134,9 +168,14 @@ def _leaf_hits(post: DataFrame, leaf: Node) -> DataFrame:
     return starts.groupBy("doc").agg(F.count(F.lit(1)).alias("f"))
 
 
+def issue_columns(wide: DataFrame) -> list[str]:
+    """The indexed columns that the wide view has."""
+    return [c for c in ISSUE_COLUMNS if c in wide.columns]
+
+
 def issue_postings(wide: DataFrame) -> DataFrame:
     """Postings of the wide view over all indexed columns, keyed by issue_key; columns it lacks are empty."""
-    return postings(wide, "issue_key", [c for c in ISSUE_COLUMNS if c in wide.columns])
+    return postings(wide, "issue_key", issue_columns(wide))
 
 
 def comment_postings(comments: DataFrame) -> DataFrame:

@@ -39,13 +39,18 @@ class Options:
         return [said for wrong, said in rules if wrong]
 
 
+def repeated(docs: DataFrame, doc: str) -> DataFrame:
+    """again: the ids of more than one row, written."""
+    return written(docs.groupBy(F.col(doc).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "again")
+
+
 def first_of_each(docs: DataFrame, doc: str, order: Column) -> DataFrame:
     """``docs`` without rows of a null id, and of rows that repeat an id the first by ``order``.
 
     One narrow aggregate over the ids; only rows of repeated ids are ranked.
     """
     rows = docs.where(F.col(doc).isNotNull())
-    again = written(rows.groupBy(F.col(doc).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "again")
+    again = repeated(rows, doc)
     if again.isEmpty():
         return rows
     side = checked(again)

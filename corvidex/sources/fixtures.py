@@ -21,8 +21,14 @@ def key(c: str):
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("status"))
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(events, "doc_id", "left").select(key("doc_id").alias("issue_key"), F.col("lang").alias("project_key"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("description"), "status", "created_at", "doc_id")
+    # the title is cut before the join, so that plans without the description don't shuffle whole texts
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("project_key"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("description"))
+    return docs.join(events, "doc_id", "left").select(key("doc_id").alias("issue_key"), "project_key", "title", "description", "status", "created_at", "doc_id")
+
+
+def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue_key, title, description of :func:`issues` where no event is listed twice, without a join."""
+    return table(spark, sf_dir, "documents").select(key("doc_id").alias("issue_key"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("description"))
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from corvidex import queries
 from corvidex.functions import clean, tokens
-from corvidex.operators import tfidf
+from corvidex.operators import fts, tfidf
 from corvidex.plans import shared
-from corvidex.sources import store
+from corvidex.sources import fixtures, store
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -62,3 +65,40 @@ def test_patterns_said_as_ranges_match_the_same_characters(spark):
     points = spark.createDataFrame([(chr(i),) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3000 or i % 37 == 0 or i > 0x10FF00)], "c string")
     assert points.where(F.col("c").rlike(clean.MARKS) != F.col("c").rlike(r"[^\w\s\-_.]")).count() == 0
     assert points.where(F.col("c").rlike(tokens.NO_WORD) != F.col("c").rlike("[^a-z0-9_]+")).count() == 0
+
+
+def test_cells_are_counted_where_they_are(spark):
+    """As the grouped postings, ids of several rows too; only those are shuffled."""
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, None, ""), (3, "a", "y z"), (3, "a c", "z")], "id long, a string, b string")
+    p = fts.postings(docs, "id", ["a", "b"])
+    want = p.groupBy("doc", "col").agg(F.count(F.lit(1)), F.count_distinct("term"), F.sum("pos"))
+    cell = fts.cells(docs, "id", ["a", "b"])
+    got = fts.cell_counts(cell, tfidf.repeated(docs, "id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, fts.cell_lengths(cell).collect())) == sorted(map(tuple, fts.lengths(p).collect()))
+    columns = p.groupBy("col").agg(F.count(F.lit(1)), F.count_distinct("term"), F.count_distinct("doc"))
+    assert sorted(map(tuple, fts.column_counts([cell]).collect())) == sorted(map(tuple, columns.collect()))
+    found = queries.fts_postings(spark, SF)
+    found.collect()
+    final = plan(found).split("Initial Plan")[0]
+    assert "Exchange hashpartitioning" not in final
+
+
+def test_texts_of_items_pass_no_join(spark, tmp_path, monkeypatch):
+    """Postings of the wide view are those of its rows, whether its texts go apart or, where an event is listed twice, with the rest."""
+    (texts, columns), (rest, others) = queries.issue_parts(spark, SF)
+    assert columns == ["title", "description"] and not set(columns) & set(others)
+    assert "Join" not in plan(texts) and "text#" not in plan(fts.cells(rest, "issue_key", others))
+    rows = lambda df: sorted(map(tuple, df.select("term", "doc", "col", "pos").collect()))
+    assert rows(queries.issue_post(spark, SF)) == rows(fts.issue_postings(queries.wide_view(spark, SF)))
+    for name in ("documents", "labels", "pages"):
+        fixtures.table(spark, SF, name).limit(20).write.parquet(str(tmp_path / f"{name}.parquet"))
+    events = fixtures.table(spark, SF, "events").where("event_id < 20")
+    events.unionByName(events.where("event_id = 3")).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(queries.issue_parts(spark, str(tmp_path))) == 1
+    assert rows(queries.issue_post(spark, str(tmp_path))) == rows(fts.issue_postings(queries.wide_view(spark, str(tmp_path))))
+
+
+def test_titles_are_joined_without_their_texts(spark):
+    titles = plan(fixtures.issues(spark, SF).select("issue_key", "title", "status")).replace(" ", "")
+    assert "substring(text" in titles[titles.rindex("Join") :]
