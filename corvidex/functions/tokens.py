@@ -108,6 +108,16 @@ def preprocessed(text: Column, terms: list[str] = CAPITALS, min_length: int = 2,
     return preserve_terms(kept, list(terms), OPERATIONS)
 
 
+def preprocessed_terms(docs: DataFrame, text: Column, terms: list[str] = CAPITALS) -> DataFrame:
+    """term: the different tokens of :func:`preprocessed` in all texts, written.
+
+    Texts are split once; what is kept and how it is written is told once a distinct word, not once an occurrence.
+    """
+    raw = docs.select(F.explode(F.split(F.lower(clean_text(text)), NO_WORD)).alias("w")).distinct()
+    kept = raw.where(~F.col("w").isin(*STOP_WORDS) & valid_token(F.col("w")))
+    return written(kept.select(preserve_terms(F.array("w"), list(terms), OPERATIONS)[0].alias("term")).distinct(), "words")
+
+
 # --- Porter's algorithm (1980), over distinct terms only -----------------------------------------
 
 _VOWELS = "aeiou"
@@ -177,8 +187,8 @@ def porter(w: str) -> str:
 
 
 def stemmed(terms: DataFrame, term: str = "term", stem: Callable[[str], str] = porter) -> DataFrame:
-    """``terms`` with a column stem. The Python code runs once a distinct term, not once an occurrence."""
-    distinct = terms.select(term).distinct()
+    """``terms`` with a column stem. The Python code runs once a distinct term, not once an occurrence, and the terms are made once."""
+    distinct = written(terms.select(term).distinct(), "terms")
     exempt = stem_exempt(F.col(term))
 
     def run(batches):

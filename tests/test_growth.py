@@ -102,3 +102,12 @@ def test_texts_of_items_pass_no_join(spark, tmp_path, monkeypatch):
 def test_titles_are_joined_without_their_texts(spark):
     titles = plan(fixtures.issues(spark, SF).select("issue_key", "title", "status")).replace(" ", "")
     assert "substring(text" in titles[titles.rindex("Join") :]
+
+
+def test_stems_split_the_texts_once(spark):
+    """The terms of all texts are those of each text's tokens; what is returned reads no text again."""
+    docs = fixtures.table(spark, SF, "documents").limit(60).union(spark.createDataFrame([(-1, "Patient $expand <b>R4</b> &amp; MEDICATION Kelvin İx 2019 the", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long"))
+    want = {r.term for r in docs.select(F.explode(tokens.preprocessed(F.col("text"))).alias("term")).distinct().collect()}
+    got = [r.term for r in tokens.preprocessed_terms(docs, F.col("text")).collect()]
+    assert set(got) == want and len(got) == len(want) and "PATIENT" in want
+    assert not [f for f in queries.porter_stems(spark, SF).inputFiles() if "documents.parquet" in f]
